@@ -1,6 +1,6 @@
 """All registered queries; importing a section registers it."""
 
-from curatrix.catalog import rows, scans  # noqa: F401
+from curatrix.catalog import profiles, ranks, rows, scans  # noqa: F401
 from curatrix.catalog.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

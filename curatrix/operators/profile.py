@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from curatrix.functions.text import all_of, hash_id, is_missing, is_missing_text, norm_text
 from curatrix.operators.ordered import exact_quantiles, join_on, top_n_per_group
@@ -183,8 +182,9 @@ def metric_correlations(df: DataFrame, metrics: list[str], signals: list[str]) -
     ])).alias("cell")
     pairs = df.select(cells).select("cell.*").filter(F.col("x").isNotNull() & F.col("y").isNotNull())
     usable = (F.count("*") >= 3) & (F.min("x") < F.max("x")) & (F.min("y") < F.max("y"))
+    spread = F.nullif(F.stddev_pop("x") * F.stddev_pop("y"), F.lit(0.0))  # corr() fails on constants
     return pairs.groupBy("metric", "signal").agg(
-        F.count("*").alias("rows"), F.when(usable, F.corr("x", "y")).alias("correlation")
+        F.count("*").alias("rows"), F.when(usable, F.covar_pop("x", "y") / spread).alias("correlation")
     )
 
 
@@ -264,6 +264,3 @@ def group_descriptor(df: DataFrame, group: str, categories: dict[str, str], mean
         described = join_on(described, count_json(df, [group], column, name), [group])
     return described
 
-
-def running_share(df: DataFrame, by: list[str], value: str) -> Column:
-    return F.col(value) / F.sum(value).over(W.partitionBy(*by))
