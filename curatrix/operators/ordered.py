@@ -116,6 +116,8 @@ def draw(
     cut is found from counts per four-digit hash prefix, so rows are never sorted as a whole:
     only the one prefix that holds the cut is ranked.
     """
+    if not strata:
+        return draw(df.withColumn("_all", F.lit(0)), key, ["_all"], wanted, seed, name).drop("_all")
     hashed = df.withColumn("_hash", F.sha2(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))), 256))
     hashed = hashed.withColumn("_bin", F.left("_hash", F.lit(4)))
     bins = hashed.groupBy(*strata, "_bin").agg(F.count("*").alias("_rows"))
