@@ -7,7 +7,6 @@ import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
 from pyspark.mllib.linalg import Vectors as OldVectors
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame
@@ -107,5 +106,5 @@ def cluster_enrichment(df: DataFrame, cluster_column: str, label: str) -> DataFr
     return counts.withColumn("positive_fraction", share).drop("_labelled")
 
 
-__all__ = ["Vectors", "best_kmeans", "cluster", "cluster_count", "cluster_enrichment", "reduce_pca", "reduce_svd",
+__all__ = ["best_kmeans", "cluster", "cluster_count", "cluster_enrichment", "reduce_pca", "reduce_svd",
            "scaled_vectors", "silhouette"]

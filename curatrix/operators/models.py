@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, MultilayerPerceptronClassifier
 from pyspark.ml.feature import (
     CountVectorizer, CountVectorizerModel, ElementwiseProduct, IDF, Normalizer, SQLTransformer, StandardScaler,
@@ -22,6 +22,7 @@ from curatrix.operators.ngrams import ngram_array
 
 # The number of distinct n-grams is bounded by the alphabet, not by the number of rows.
 ALL_TERMS = 1 << 20
+ROWS_PER_TASK = 2_000
 
 
 def with_weights(df: DataFrame, label: str = "label", name: str = "weight") -> tuple[DataFrame, float]:
@@ -38,20 +39,42 @@ def logistic(total_weight: float, features: str = "features", label: str = "labe
     """L2 penalty as in C = 1: the loss is a sum there and a mean here."""
     return LogisticRegression(
         featuresCol=features, labelCol=label, weightCol="weight", regParam=1.0 / (c * total_weight),
-        elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-7,
+        elasticNetParam=0.0, standardization=False, maxIter=500, tol=1e-6,
     )
 
 
+def even_scale(df: DataFrame, features: str, label: str, total_weight: float) -> DataFrame:
+    """Add two rows of vanishing weight that give every feature the same spread.
+
+    Spark always optimises over features divided by their deviation. For rare n-grams that
+    turns an even penalty into a very uneven one, and the fit needs hundreds of passes. Two
+    opposite rows with value v in every feature and weight n / v**2 raise each variance by
+    about 2, while their share of the loss is of order 1 / v: the optimum stays, and about
+    twenty passes reach it.
+    """
+    value = 1e7
+    size = df.select(F.size(vector_to_array(features)).alias("n")).first()["n"]
+    pads = df.sparkSession.range(0, 2, 1, 1).select(
+        F.col("id").cast("int").alias(label), F.lit(total_weight / value**2).alias("weight"),
+        array_to_vector(F.array_repeat(F.lit(value), size)).alias(features),
+    )
+    return df.select(label, "weight", features).unionByName(pads)
+
+
 def fit_logreg(df: DataFrame, features: str = "features", label: str = "label", penalise_intercept: bool = False):
-    """Balanced logistic regression; optionally the intercept is penalised like a weight."""
+    """Balanced logistic regression; optionally the intercept is penalised like a weight.
+
+    Every pass runs one task per partition, so small inputs are drawn together first.
+    """
     weighted, total = with_weights(df, label)
-    model = logistic(total, features, label)
+    weighted = weighted.coalesce(max(1, min(weighted.rdd.getNumPartitions(), int(total) // ROWS_PER_TASK)))
     if not penalise_intercept:
-        return model.fit(weighted)
+        return logistic(total, features, label).fit(even_scale(weighted, features, label, total))
     one = SQLTransformer(statement="SELECT *, 1.0D AS _one FROM __THIS__")
     wide = VectorAssembler(inputCols=[features, "_one"], outputCol="_with_one")
-    model = model.setFeaturesCol("_with_one").setFitIntercept(False)
-    return Pipeline(stages=[one, wide, model]).fit(weighted)
+    padded = even_scale(wide.transform(one.transform(weighted)), "_with_one", label, total)
+    model = logistic(total, "_with_one", label).setFitIntercept(False).fit(padded)
+    return PipelineModel(stages=[one, wide, model])
 
 
 def positive_score(scored: DataFrame, name: str = "score") -> DataFrame:
@@ -60,7 +83,7 @@ def positive_score(scored: DataFrame, name: str = "score") -> DataFrame:
 
 def score(df: DataFrame, model) -> DataFrame:
     """Probability of label 1 by a fitted or loaded model; batches are Spark's partitions."""
-    helpers = ["terms", "counts", "tfidf", "features", "weighted", "rawPrediction", "probability", "prediction"]
+    helpers = ["terms", "counts", "tfidf", "features", "weighted", "_one", "_with_one", "rawPrediction", "probability", "prediction"]
     scored = positive_score(model.transform(df))
     return scored.drop(*[c for c in helpers if c not in df.columns])
 
@@ -98,7 +121,8 @@ def fit_embedding_logreg(df: DataFrame, vector: str = "embedding", label: str =
     """Scaled dense vectors and balanced logistic regression."""
     rows, total = with_weights(df.withColumn("_v", array_to_vector(F.transform(vector, lambda x: x.cast("double")))), label)
     scaler = StandardScaler(inputCol="_v", outputCol="features", withMean=True, withStd=True).fit(rows)
-    return PipelineModel(stages=[scaler, logistic(total, label=label).fit(scaler.transform(rows))])
+    scaled = even_scale(scaler.transform(rows), "features", label, total)
+    return PipelineModel(stages=[scaler, logistic(total, label=label).fit(scaled)])
 
 
 def as_vector(df: DataFrame, vector: str = "embedding") -> DataFrame:
