@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from curatrix.catalog.base import RECORDS, SEQUENCES, Tables, query, rounded
 from curatrix.functions.text import hash_id, is_missing, is_missing_text, is_valid_alphabet
 from curatrix.functions.values import matching_bin
+from curatrix.lineage import cut_lineage
 from curatrix.operators import filters as X
 from curatrix.operators import joins as J
 from curatrix.operators import rules as R
@@ -42,9 +43,13 @@ scored AS (SELECT *, CASE
 
 
 def scored(t: Tables) -> DataFrame:
-    """Sequences with prediction, flags, risk and categories."""
-    df = R.with_prediction(t.sequences)
-    df = R.with_risk(R.with_sequence_flags(df, "heavy", "light", "cdrh3"))
+    """Sequences with prediction, flags, risk and categories.
+
+    Cleaned sequences are written once: a later filter on a category would otherwise be pushed
+    below the cleaning and repeat its expressions in every condition.
+    """
+    df = R.with_prediction(cut_lineage(t.sequences))
+    df = cut_lineage(R.with_risk(R.with_sequence_flags(df, "heavy", "light", "cdrh3")))
     return df.withColumn("record_category", R.record_category()).withColumn("priority_category", R.priority_category())
 
 

@@ -101,13 +101,15 @@ def tfidf_rows(df: DataFrame, key: str, text: str, terms: DataFrame, lo: int = 3
     """
     kind = df.schema[key].dataType.simpleString()
     if terms.count() > BROADCAST_TERMS:
-        weights = char_ngrams(df, key, text, lo, hi).join(terms, "term").select(
-            key, F.struct("ix", (F.col("tf") * F.col("idf")).alias("w")).alias("cell"))
-        packed = weights.groupBy(key).agg(F.array_sort(F.collect_list("cell")).alias("cells"))
-        length = F.sqrt(F.aggregate("cells", F.lit(0.0), lambda acc, c: acc + c["w"] * c["w"]))
-        return df.select(key).join(packed.withColumn("_len", length), key, "left").select(
+        cell = F.struct("ix", (F.col("tf") * F.col("idf")).alias("w"))
+        packed = (
+            char_ngrams(df, key, text, lo, hi).join(terms, "term").select(key, cell.alias("cell"))
+            .groupBy(key).agg(F.array_sort(F.collect_list("cell")).alias("cells"),
+                              F.sqrt(F.sum(F.col("cell.w") * F.col("cell.w"))).alias("_len"))
+        )
+        return df.select(key).join(packed, key, "left").select(
             key, F.coalesce(F.col("cells.ix"), F.array().cast("array<int>")).alias("ix"),
-            F.coalesce(F.transform(F.col("cells.w"), lambda w: w / F.col("_len")), F.array().cast("array<double>")).alias("w"))
+            F.coalesce(F.transform("cells.w", lambda w: w / F.col("_len")), F.array().cast("array<double>")).alias("w"))
     pdf = terms.toPandas()
     table = df.sparkSession.sparkContext.broadcast(
         dict(zip(pdf["term"], zip(pdf["ix"].tolist(), pdf["idf"].tolist())))

@@ -6,6 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curatrix.lineage import cut_lineage
 from curatrix.operators import rules as R
 from curatrix.operators.filters import choose_pool
 from curatrix.operators.models import fit_kmer, score
@@ -39,8 +40,11 @@ def score_and_prioritise(
 
 def diverse_groups(table: DataFrame, row_id: str, region: str, v_group: str | None, old_key: str | None = None,
                    cdrh3: str | None = None) -> DataFrame:
-    """One record per diversity group of the candidate pool, ranked and tiered."""
-    pool, _ = choose_pool(table, "score", row_id)
+    """One record per diversity group of the candidate pool, ranked and tiered.
+
+    The pools are tried in turn, so the scored table is written once before.
+    """
+    pool, _ = choose_pool(cut_lineage(table), "score", row_id)
     keyed = R.diversity_key(pool, region, v_group, old_key, cdrh3)
     order = [F.col("score").desc(), F.col("confidence_score").desc(), F.col("risk_score"), F.col(row_id)]
     best = best_per_group(keyed, ["diversity_group"], order, "group_candidates")
