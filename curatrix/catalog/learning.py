@@ -43,7 +43,7 @@ def j1(t: Tables) -> DataFrame:
 
 @query("j2_vocabulary", f"{W}{DOCS}, {VOCAB} SELECT length(term) AS n, df, count(*) AS terms, CAST(sum(total) AS BIGINT) AS total FROM v GROUP BY 1, 2")
 def j2(t: Tables) -> DataFrame:
-    vocab = N.fit_vocab(N.char_ngrams(t.documents, "doc_id", "text"))
+    vocab = N.text_vocab(t.documents, "text")
     return vocab.groupBy(F.length("term").alias("n"), "df").agg(F.count("*").alias("terms"), F.sum("total").alias("total"))
 
 
@@ -58,7 +58,7 @@ def j2_capped(t: Tables) -> DataFrame:
 def j3(t: Tables) -> DataFrame:
     docs = t.documents
     grams = N.char_ngrams(docs, "doc_id", "text")
-    weights = N.tfidf(grams, N.fit_vocab(grams), "doc_id", docs.count())
+    weights = N.tfidf(grams, N.text_vocab(docs, "text"), "doc_id", docs.count())
     return weights.groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.sum("weight"), 5).alias("total"), F.round(F.max("weight"), 6).alias("top"))
 
 

@@ -22,7 +22,7 @@ from curatrix.operators.ngrams import ngram_array
 
 # The number of distinct n-grams is bounded by the alphabet, not by the number of rows.
 ALL_TERMS = 1 << 20
-ROWS_PER_TASK = 2_000
+ROWS_PER_TASK = 500
 
 
 def with_weights(df: DataFrame, label: str = "label", name: str = "weight") -> tuple[DataFrame, float]:

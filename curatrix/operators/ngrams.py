@@ -10,7 +10,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -19,7 +19,8 @@ from curatrix.functions.text import as_col
 from curatrix.lineage import spread
 from curatrix.operators.ordered import global_position
 
-ROWS_PER_BATCH = 200_000
+ROWS_PER_SLICE = 500
+CHARS_PER_SLICE = 500_000
 BROADCAST_TERMS = 500_000  # above this the vocabulary is joined, not broadcast
 
 
@@ -28,10 +29,6 @@ def ngram_text(value: Column | str) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(as_col(value), F.lit(""))), r"(?U)\s{2,}", " ")
 
 
-def windows(text: str, lo: int, hi: int) -> list[str]:
-    return [text[i:i + n] for n in range(lo, hi + 1) for i in range(len(text) - n + 1)]
-
-
 def ngram_array(value: str, lo: int = 3, hi: int = 5) -> str:
     """SQL for all windows as an array: a lookahead captures, one code point is consumed."""
     text = rf"regexp_replace(lower(coalesce({value}, '')), r'(?U)\s{{2,}}', ' ')"
@@ -39,47 +36,151 @@ def ngram_array(value: str, lo: int = 3, hi: int = 5) -> str:
     return f"concat({', '.join(parts)})"
 
 
+def _kind(df: DataFrame, key: str) -> str:
+    return df.schema[key].dataType.simpleString()
+
+
+def _texts(df: DataFrame, key: str, text: str) -> DataFrame:
+    return spread(df.select(key, ngram_text(text).alias("_text")))
+
+
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) pieces of bounded length; a longer text is a piece of its own."""
+    start, texts, size = 0, [], 0
+    for row, value in enumerate(batch.column(column).to_pylist()):
+        if texts and (size + len(value) > CHARS_PER_SLICE or len(texts) == ROWS_PER_SLICE):
+            yield start, texts
+            start, texts, size = row, [], 0
+        texts.append(value)
+        size += len(value)
+    if texts:
+        yield start, texts
+
+
+def _numbered(texts: list[str], lo: int, hi: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray | None, np.ndarray | None]]:
+    """Per length: (n, base, alphabet, row x base**n + window, count); None where numbers would not fit.
+
+    A window is a number in base "distinct characters of the piece", so counting is a sort.
+    """
+    sizes = np.array([len(t) for t in texts])
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
+    alphabet, codes = np.unique(points, return_inverse=True)
+    base = len(alphabet)
+    owners, ends = np.repeat(np.arange(len(texts)), sizes), np.repeat(np.cumsum(sizes), sizes)
+    for n in range(lo, hi + 1):
+        if len(points) < n:
+            continue
+        if base ** n * len(texts) >= 2 ** 63 or alphabet[0] == 0:
+            yield n, base, alphabet, None, None
+            continue
+        key = _window_keys(codes, base, n)
+        inside = np.arange(len(key)) + n <= ends[:len(key)]
+        yield n, base, alphabet, *np.unique(owners[:len(key)][inside] * base ** n + key[inside], return_counts=True)
+
+
+def count_windows(texts: list[str], lo: int, hi: int) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
+    """(row, count, term) of every distinct window per text."""
+    for n, base, alphabet, both, counts in _numbered(texts, lo, hi):
+        if both is None:
+            yield from _count_plain(texts, n)
+        else:
+            rows, key = np.divmod(both, base ** n)
+            yield rows, counts, _spell(key, base, n, alphabet)
+
+
+def sum_windows(texts: list[str], lo: int, hi: int) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
+    """(texts with it, occurrences, term) of every distinct window of the piece."""
+    for n, base, alphabet, both, counts in _numbered(texts, lo, hi):
+        if both is None:
+            for _, counts, terms in _count_plain(texts, n):
+                yield np.ones(len(counts), dtype=np.int64), counts, terms
+        elif len(both):
+            key = both % base ** n
+            order = np.argsort(key, kind="stable")
+            distinct, starts, rows = np.unique(key[order], return_index=True, return_counts=True)
+            yield rows, np.add.reduceat(counts[order], starts), _spell(distinct, base, n, alphabet)
+
+
+def _window_keys(codes: np.ndarray, base: int, n: int) -> np.ndarray:
+    size = len(codes) - n + 1
+    key = codes[:size].astype(np.int64)
+    for j in range(1, n):
+        key = key * base + codes[j:size + j]
+    return key
+
+
+def _spell(key: np.ndarray, base: int, n: int, alphabet: np.ndarray) -> pa.Array:
+    """Numbers back to text; equal numbers are spelled once."""
+    distinct, place = np.unique(key, return_inverse=True)
+    letters = np.empty((len(distinct), n), dtype=np.uint32)
+    for j in range(n - 1, -1, -1):
+        distinct, digit = np.divmod(distinct, base)
+        letters[:, j] = alphabet[digit]
+    words = pa.array(letters.view(f"<U{n}").ravel().tolist(), pa.string())
+    return words.take(pa.array(place))
+
+
+def _count_plain(texts: list[str], n: int) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
+    for row, text in enumerate(texts):
+        counted = Counter(text[i:i + n] for i in range(len(text) - n + 1))
+        if counted:
+            yield (np.full(len(counted), row), np.fromiter(counted.values(), np.int64, len(counted)),
+                   pa.array(list(counted), pa.string()))
+
+
 def char_ngrams(df: DataFrame, key: str, text: str, lo: int = 3, hi: int = 5) -> DataFrame:
     """(key, term, tf) for every distinct window of every row."""
-    kind = df.schema[key].dataType.simpleString()
-
-    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, terms, counts, size = [], [], [], 0
-        for pdf in batches:
-            for row_key, value in zip(pdf[key], pdf["_text"]):
-                counted = Counter(windows(value, lo, hi))
-                keys.append((row_key, len(counted)))
-                terms.extend(counted.keys())
-                counts.extend(counted.values())
-                size += len(counted)
-                if size >= ROWS_PER_BATCH:
-                    yield pack(keys, terms, counts)
-                    keys, terms, counts, size = [], [], [], 0
-        if terms:
-            yield pack(keys, terms, counts)
-
-    def pack(keys: list, terms: list, counts: list) -> pd.DataFrame:
-        ids = np.repeat(np.array([k for k, _ in keys]), [n for _, n in keys])
-        return pd.DataFrame({key: ids, "term": terms, "tf": np.array(counts, dtype=np.int32)})
-
-    rows = spread(df.select(key, ngram_text(text).alias("_text")))
-    return rows.mapInPandas(expand, f"{key} {kind}, term string, tf int")
 
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, texts in slices(batch, 1):
+                for rows, counts, terms in count_windows(texts, lo, hi):
+                    owners = batch.column(0).take(pa.array(rows + start))
+                    yield pa.RecordBatch.from_arrays([owners, terms, pa.array(counts, pa.int32())], names=[key, "term", "tf"])
 
-def fit_vocab(ngrams: DataFrame, min_df: int = 2, max_terms: int | None = None) -> DataFrame:
-    """(term, df, total) of terms in at least min_df rows; optionally the most frequent ones."""
-    vocab = ngrams.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+    return _texts(df, key, text).mapInArrow(expand, f"{key} {_kind(df, key)}, term string, tf int")
+
+
+def _keep_terms(vocab: DataFrame, min_df: int, max_terms: int | None) -> DataFrame:
     vocab = vocab.filter(F.col("df") >= min_df)
     return vocab.orderBy(F.col("total").desc(), "term").limit(max_terms) if max_terms else vocab
 
 
+def fit_vocab(ngrams: DataFrame, min_df: int = 2, max_terms: int | None = None) -> DataFrame:
+    """(term, df, total) of terms in at least min_df rows; optionally the most frequent ones."""
+    return _keep_terms(ngrams.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")), min_df, max_terms)
+
+
+def text_vocab(
+    df: DataFrame, text: str, min_df: int = 2, max_terms: int | None = None, lo: int = 3, hi: int = 5
+) -> DataFrame:
+    """The same vocabulary straight from text.
+
+    Each piece of text is added up first and hands on one line per term, so far fewer rows
+    leave Python than there are windows.
+    """
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in slices(batch, 0):
+                for rows, total, terms in sum_windows(texts, lo, hi):
+                    yield pa.RecordBatch.from_arrays(
+                        [terms, pa.array(rows, pa.int64()), pa.array(total, pa.int64())], names=["term", "df", "total"])
+
+    parts = spread(df.select(ngram_text(text).alias("_text"))).mapInArrow(add_up, "term string, df long, total long")
+    return _keep_terms(parts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total")), min_df, max_terms)
+
+
 def idf(df: Column, rows: int) -> Column:
     """Smooth inverse document frequency: ln((1 + n) / (1 + df)) + 1."""
     return F.log((1.0 + rows) / (1.0 + df)) + 1.0
 
 
 def tfidf(ngrams: DataFrame, vocab: DataFrame, key: str, rows: int) -> DataFrame:
-    """(key, term, weight) with unit length per row; terms outside the vocabulary drop out."""
+    """(key, term, weight) with unit length per row; terms outside the vocabulary drop out.
+
+    The join is on the term, the norm over the terms of one row; neither gathers a hot term.
+    """
     weighted = ngrams.join(vocab.select("term", "df"), "term").select(
         key, "term", (F.col("tf") * idf(F.col("df"), rows)).alias("_w")
     )
@@ -99,45 +200,100 @@ def tfidf_rows(df: DataFrame, key: str, text: str, terms: DataFrame, lo: int = 3
     ``terms`` comes from ``number_terms``. A vocabulary of counted, bounded size travels with
     the tasks and nothing is shuffled; a larger one is joined.
     """
-    kind = df.schema[key].dataType.simpleString()
     if terms.count() > BROADCAST_TERMS:
-        cell = F.struct("ix", (F.col("tf") * F.col("idf")).alias("w"))
-        packed = (
-            char_ngrams(df, key, text, lo, hi).join(terms, "term").select(key, cell.alias("cell"))
-            .groupBy(key).agg(F.array_sort(F.collect_list("cell")).alias("cells"),
-                              F.sqrt(F.sum(F.col("cell.w") * F.col("cell.w"))).alias("_len"))
-        )
-        return df.select(key).join(packed, key, "left").select(
-            key, F.coalesce(F.col("cells.ix"), F.array().cast("array<int>")).alias("ix"),
-            F.coalesce(F.transform("cells.w", lambda w: w / F.col("_len")), F.array().cast("array<double>")).alias("w"))
-    pdf = terms.toPandas()
-    table = df.sparkSession.sparkContext.broadcast(
-        dict(zip(pdf["term"], zip(pdf["ix"].tolist(), pdf["idf"].tolist())))
-    )
+        return _joined_rows(df, key, text, terms, lo, hi)
+    pdf = terms.orderBy("ix").toPandas()
+    table = df.sparkSession.sparkContext.broadcast((TermTable(pdf["term"].tolist()), pdf["idf"].to_numpy(dtype=float)))
 
-    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = table.value
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, idfs = table.value
         for batch in batches:
-            for start in range(0, len(batch), 500):
-                part = batch.iloc[start:start + 500]
-                out_ix, out_w = [], []
-                for value in part["_text"]:
-                    found = [(*known[t], n) for t, n in Counter(windows(value, lo, hi)).items() if t in known]
-                    found.sort()
-                    w = np.array([weight * n for _, weight, n in found], dtype=float)
-                    norm = np.sqrt((w * w).sum())
-                    out_ix.append([i for i, _, _ in found])
-                    out_w.append((w / norm if norm else w).tolist())
-                yield pd.DataFrame({key: part[key].to_numpy(), "ix": out_ix, "w": out_w})
-
-    rows = spread(df.select(key, ngram_text(text).alias("_text")))
-    return rows.mapInPandas(weigh, f"{key} {kind}, ix array<int>, w array<double>")
+            for start, texts in slices(batch, 1):
+                rows, ix, counts = known.count(texts, lo, hi)
+                weights = counts * idfs[ix]
+                norms = np.sqrt(np.bincount(rows, weights * weights, len(texts)))
+                ends = np.searchsorted(rows, np.arange(len(texts) + 1))
+                offsets = pa.array(ends, pa.int32())
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).slice(start, len(texts)), pa.ListArray.from_arrays(offsets, pa.array(ix, pa.int32())),
+                    pa.ListArray.from_arrays(offsets, pa.array(weights / norms[rows], pa.float64()))], names=[key, "ix", "w"])
+
+    return _texts(df, key, text).mapInArrow(weigh, f"{key} {_kind(df, key)}, ix array<int>, w array<double>")
+
+
+class TermTable:
+    """Vocabulary as sorted numbers per window length; unknown characters have the code 0."""
+
+    def __init__(self, terms: list[str]):
+        points = np.frombuffer("".join(terms).encode("utf-32-le"), dtype=np.uint32)
+        self.size = len(terms)
+        self.alphabet = np.unique(points)
+        self.base = len(self.alphabet) + 1
+        sizes = np.array([len(t) for t in terms], dtype=np.int64)
+        starts = np.cumsum(sizes) - sizes
+        codes = np.searchsorted(self.alphabet, points) + 1
+        self.plain = {t: i for i, t in enumerate(terms)} if self.base ** int(sizes.max(initial=1)) >= 2 ** 63 else None
+        self.by_length = {}
+        for n in np.unique(sizes).tolist() if self.plain is None else []:
+            which = np.flatnonzero(sizes == n)
+            keys = np.zeros(len(which), dtype=np.int64)
+            for j in range(n):
+                keys = keys * self.base + codes[starts[which] + j]
+            order = np.argsort(keys)
+            self.by_length[n] = (keys[order], which[order])
+
+    def count(self, texts: list[str], lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, term index, count) of known windows, in row and index order."""
+        if self.plain is not None:
+            return self._count_plain(texts, lo, hi)
+        sizes = np.array([len(t) for t in texts])
+        points = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
+        letters, place = np.unique(points, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.alphabet, letters), max(len(self.alphabet) - 1, 0))
+        known = self.alphabet[at] == letters if len(self.alphabet) else np.zeros(len(letters), dtype=bool)
+        codes = np.where(known, at + 1, 0)[place]
+        owners, ends = np.repeat(np.arange(len(texts)), sizes), np.repeat(np.cumsum(sizes), sizes)
+        found = [np.zeros(0, dtype=np.int64)]
+        for n in range(lo, hi + 1):
+            if n not in self.by_length or len(points) < n:
+                continue
+            keys, ix = self.by_length[n]
+            key = _window_keys(codes, self.base, n)
+            inside = np.arange(len(key)) + n <= ends[:len(key)]
+            distinct, back = np.unique(key[inside], return_inverse=True)
+            spot = np.minimum(np.searchsorted(keys, distinct), len(keys) - 1)
+            hit = (keys[spot] == distinct)[back]
+            found.append((owners[:len(key)][inside] * self.size + ix[spot][back])[hit])
+        both, counts = np.unique(np.concatenate(found), return_counts=True)
+        rows, ix = np.divmod(both, max(self.size, 1))
+        return rows, ix, counts
+
+    def _count_plain(self, texts: list[str], lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        cells = [
+            (row, self.plain[term], n)
+            for row, text in enumerate(texts)
+            for term, n in Counter(text[i:i + w] for w in range(lo, hi + 1) for i in range(len(text) - w + 1)).items()
+            if term in self.plain
+        ]
+        table = np.array(sorted(cells), dtype=np.int64).reshape(-1, 3)
+        return table[:, 0], table[:, 1], table[:, 2]
+
+
+def _joined_rows(df: DataFrame, key: str, text: str, terms: DataFrame, lo: int, hi: int) -> DataFrame:
+    cell = F.struct("ix", (F.col("tf") * F.col("idf")).alias("w"))
+    packed = (
+        char_ngrams(df, key, text, lo, hi).join(terms, "term").select(key, cell.alias("cell"))
+        .groupBy(key).agg(F.array_sort(F.collect_list("cell")).alias("cells"),
+                          F.sqrt(F.sum(F.col("cell.w") * F.col("cell.w"))).alias("_len"))
+    )
+    return df.select(key).join(packed, key, "left").select(
+        key, F.coalesce(F.col("cells.ix"), F.array().cast("array<int>")).alias("ix"),
+        F.coalesce(F.transform("cells.w", lambda w: w / F.col("_len")), F.array().cast("array<double>")).alias("w"))
 
 
 def fit_tfidf_rows(
     df: DataFrame, key: str, text: str, min_df: int = 2, max_terms: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Vocabulary over all rows of df and their vectors."""
-    vocab = fit_vocab(char_ngrams(df, key, text), min_df, max_terms)
-    terms = number_terms(vocab, df.count())
+    terms = number_terms(text_vocab(df, text, min_df, max_terms), df.count())
     return tfidf_rows(df, key, text, terms), terms
