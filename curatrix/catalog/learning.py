@@ -10,6 +10,7 @@ from curatrix.catalog.base import RECORDS, SEQUENCES, Tables, query, rounded
 from curatrix.catalog.rows import BINS_SQL, binned
 from curatrix.catalog.scans import scratch
 from curatrix.functions.text import pair_text
+from curatrix.lineage import cut_lineage
 from curatrix.operators import clusters as CL
 from curatrix.operators import features as FE
 from curatrix.operators import models as MO
@@ -108,7 +109,7 @@ def j8(t: Tables) -> DataFrame:
     model = MO.fit_kmer(rows, "text", max_terms=2000)
     kmer = PipelineModel(stages=model.stages[:-1]).transform(rows).withColumnRenamed("features", "kmer_vector").drop("terms", "counts", "weighted")
     vectors = t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding")
-    joined = MO.as_vector(kmer.join(vectors, "doc_id")).withColumnRenamed("_v", "embedding_vector")
+    joined = cut_lineage(MO.as_vector(kmer.join(vectors, "doc_id")).withColumnRenamed("_v", "embedding_vector").drop("text"))
     blocks = {"kmer": ["kmer_vector"], "embedding": ["embedding_vector"], "simple": ["length", "heavy_length"]}
     parts = None
     for name in FE.FEATURE_SETS:
