@@ -6,6 +6,8 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+SMALL_PER_CORE = 32 << 20  # bytes
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a private one only where none is named."""
@@ -24,10 +26,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def source_bytes(df: DataFrame) -> int:
+    """Estimated size of the tables the plan reads; nothing is run."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy row work enough tasks when the scan yields only a few splits.
+    """Give CPU-heavy row work one task per core where the input is too small to have as many splits.
 
-    A scan that already has one split per core is left alone, so large inputs are not shuffled.
+    Large inputs have enough splits already and are left alone, so nothing big is shuffled.
     """
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if source_bytes(df) < cores * SMALL_PER_CORE else df

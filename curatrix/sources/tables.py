@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,65 +60,51 @@ def scan_paired_files(
 ) -> DataFrame:
     """Two columns of a set of CSV files whose header sits behind 0 to 2 extra lines.
 
-    The first lines of all files are read in one job; files with the same header form one
-    scan. Lines of another width than the header are dropped, as are lines up to the header.
+    Only the first lines of each file are read to find its header; files with the same header
+    form one scan. Lines up to the header and lines wider than it are dropped; short lines are
+    filled with blanks.
     """
     depth = max(skip_probe) + 1
-    probe = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"))
-    heads = (
-        probe.mapInPandas(_first_lines(depth), "file string, line_no int, value string")
-        .groupBy("file", "line_no").agg(F.first("value").alias("value"))
-        .groupBy("file")
-        .agg(F.array_sort(F.collect_list(F.struct("line_no", "value"))).alias("lines"))
-    )
-    classes: dict[tuple[int, str], list[str]] = {}
-    for row in heads.toLocalIterator():  # one short row per file
-        for line in row["lines"]:
-            columns = next(iter(_split_header(line["value"])))
-            if line["line_no"] in skip_probe and find_column(columns, heavy) and find_column(columns, light):
-                classes.setdefault((line["line_no"], line["value"]), []).append(row["file"])
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select("path")
+    files = sorted(r["path"] for r in listed.collect())  # names only, contents are not read
+    with ThreadPoolExecutor(16) as pool:
+        heads = list(pool.map(lambda f: [r["value"] for r in spark.read.text(f).limit(depth).collect()], files))
+    classes: dict[str, list[tuple[str, list[str]]]] = {}
+    for file, lines in zip(files, heads):
+        for line_no, line in enumerate(lines):
+            columns = _split_header(line)
+            if line_no in skip_probe and find_column(columns, heavy) and find_column(columns, light):
+                classes.setdefault(line, []).append((file, lines[:line_no + 1]))
                 break
-    schema = "heavy_raw string, light_raw string, source_file string"
-    parts = []
-    for (_, header), files in sorted(classes.items()):
-        columns = _split_header(header)[0]
-        parsed = (
-            spark.read.text(files)
-            .select("value", F.col("_metadata.file_name").alias("source_file"))
-            .filter(F.col("value") != header)
-            .select(F.from_csv("value", _csv_schema(columns), {"mode": "PERMISSIVE", "escape": '"',
-                    "columnNameOfCorruptRecord": "_bad"}).alias("r"), "source_file")
-            .filter(F.col("r._bad").isNull())
-        )
-        at_heavy = columns.index(find_column(columns, heavy))
-        at_light = columns.index(find_column(columns, light))
-        parts.append(parsed.select(
-            F.coalesce(F.col(f"r.c{at_heavy}"), F.lit("")).alias("heavy_raw"),
-            F.coalesce(F.col(f"r.c{at_light}"), F.lit("")).alias("light_raw"),
-            "source_file",
-        ))
-    if not parts:
-        return spark.createDataFrame([], schema)
-    return union_parts(parts)
-
-
-def _first_lines(depth: int):
-    def first(batches):
-        seen: dict[str, int] = {}
-        for pdf in batches:
-            pdf = pdf.assign(line_no=pdf.groupby("file").cumcount() + pdf["file"].map(lambda f: seen.get(f, 0)))
-            for name, n in pdf["file"].value_counts().items():
-                seen[name] = seen.get(name, 0) + int(n)
-            yield pdf.loc[pdf["line_no"] < depth, ["file", "line_no", "value"]]
-    return first
+    if not classes:
+        return spark.createDataFrame([], "heavy_raw string, light_raw string, source_file string, line_no long")
+    return union_parts([_scan_class(spark, header, members, heavy, light) for header, members in sorted(classes.items())])
 
 
-def _split_header(line: str) -> list[list[str]]:
-    return [[part.strip().strip('"') for part in line.split(",")]]
+def _scan_class(
+    spark: SparkSession, header: str, members: list[tuple[str, list[str]]], heavy: list[str], light: list[str]
+) -> DataFrame:
+    columns = _split_header(header)
+    skipped = spark.createDataFrame(
+        [(os.path.basename(file), line) for file, lines in members for line in lines], "source_file string, value string"
+    ).distinct()
+    fields = ", ".join(f"c{i} string" for i in range(len(columns) + 1))  # the last one catches extra cells
+    lines = spark.read.text([file for file, _ in members]).filter(F.col("value") != "").select(
+        "value", F.col("_metadata.file_name").alias("source_file"), F.monotonically_increasing_id().alias("line_no"))
+    parsed = (
+        lines.join(skipped, ["source_file", "value"], "left_anti")
+        .select(F.from_csv("value", fields, {"mode": "PERMISSIVE", "escape": '"'}).alias("r"), "source_file", "line_no")
+        .filter(F.col(f"r.c{len(columns)}").isNull())
+    )
+    places = [columns.index(find_column(columns, names)) for names in (heavy, light)]
+    return parsed.select(
+        F.coalesce(F.col(f"r.c{places[0]}"), F.lit("")).alias("heavy_raw"),
+        F.coalesce(F.col(f"r.c{places[1]}"), F.lit("")).alias("light_raw"), "source_file", "line_no",
+    )
 
 
-def _csv_schema(columns: list[str]) -> str:
-    return ", ".join([*(f"c{i} string" for i in range(len(columns))), "_bad string"])
+def _split_header(line: str) -> list[str]:
+    return [part.strip().strip('"') for part in line.split(",")]
 
 
 def union_parts(parts: list[DataFrame]) -> DataFrame:

@@ -13,7 +13,7 @@ from curatrix.sources import tables as S
 
 def test_paired_scan_finds_the_header(spark, tmp_path):
     for name, text in {
-        "a.csv.gz": '{"meta": 1}\nid,Sequence_Alignment_AA_Heavy ,light_sequence\n1,QVQ,DIV\n2,too,many,cells\n3,EVQ,\n',
+        "a.csv.gz": '{"meta": 1}\nid,Sequence_Alignment_AA_Heavy ,light_sequence\n1,QVQ,DIV\n2,too,many,cells\n3,EVQ,\n4,CVQ\n',
         "b.csv.gz": "heavy_sequence,light_sequence\nAAA,BBB\n",
         "c.csv.gz": "nothing,useful\n1,2\n",
     }.items():
@@ -21,7 +21,7 @@ def test_paired_scan_finds_the_header(spark, tmp_path):
             out.write(text)
     rows = S.scan_paired_files(spark, [str(tmp_path)]).collect()
     assert sorted((r["source_file"], r["heavy_raw"], r["light_raw"]) for r in rows) == [
-        ("a.csv.gz", "EVQ", ""), ("a.csv.gz", "QVQ", "DIV"), ("b.csv.gz", "AAA", "BBB")]
+        ("a.csv.gz", "CVQ", ""), ("a.csv.gz", "EVQ", ""), ("a.csv.gz", "QVQ", "DIV"), ("b.csv.gz", "AAA", "BBB")]
 
 
 def test_text_scan_keeps_blanks(spark, tmp_path):
