@@ -29,7 +29,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def source_bytes(df: DataFrame) -> int:
     """Estimated size of the tables the plan reads; nothing is run."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def spread(df: DataFrame) -> DataFrame:
