@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curatrix.functions.text import clean_sequence
+from curatrix.lineage import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,7 +40,7 @@ class Tables:
     @property
     def sequences(self) -> DataFrame:
         """Records whose lines are reduced to residue letters; the region is a slice of the first."""
-        return self.records.withColumns({
+        return spread(self.records).withColumns({
             "heavy": clean_sequence("heavy_raw", "canonical"),
             "light": clean_sequence("light_raw", "canonical"),
         }).withColumn("cdrh3", F.substr("heavy", F.lit(5), F.length("heavy") % 40))

@@ -46,6 +46,11 @@ def a3(t: Tables) -> DataFrame:
     return S.scan_paired_files(t.spark, [path]).select("heavy_raw", "light_raw")
 
 
+@query("a5_required_columns", "SELECT o_orderkey, o_custkey FROM orders")
+def a5(t: Tables) -> DataFrame:
+    return S.require_columns(t.orders, ["o_orderkey", "o_custkey"]).select("o_orderkey", "o_custkey")
+
+
 @query("a6_first_available_column", RECORDS.join(["WITH ", " SELECT row_id, source AS value FROM rec"]))
 def a6(t: Tables) -> DataFrame:
     rec = t.records

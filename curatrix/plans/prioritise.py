@@ -23,7 +23,8 @@ def prioritise(records: DataFrame, row_id: str, v_group: str, region: str) -> Da
     df = R.with_risk(R.with_sequence_flags(df, "heavy", "light", "cdrh3"))
     df = R.with_priority_group(df, v_group, region, "cdrh3_length")
     df = df.withColumn("record_category", R.record_category())
-    df = df.withColumn("priority_category", R.priority_category()).drop("heavy", "light", "cdrh3")
+    # Written once: the counts and both ranks below read it again.
+    df = cut_lineage(df.withColumn("priority_category", R.priority_category()).drop("heavy", "light", "cdrh3"))
     df = group_size(df, ["diversity_group"], "diversity_group_size")
     best = [F.col("score").desc(), F.col(row_id)]
     df = position_in_group(df, ["diversity_group"], best, "rank_in_diversity_group")
@@ -35,7 +36,7 @@ def score_and_prioritise(
 ) -> DataFrame:
     """As above with the score of a classifier fitted on the labelled rows, or a given one."""
     fitted = model or fit_kmer(records.filter(F.col("label").isNotNull()), text)
-    return prioritise(score(records, fitted), row_id, v_group, region)
+    return prioritise(cut_lineage(score(records, fitted)), row_id, v_group, region)
 
 
 def diverse_groups(table: DataFrame, row_id: str, region: str, v_group: str | None, old_key: str | None = None,
