@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.llm import decontamination, exact_dedup, mixing, quality, simhash
+from curatrix.llm import chat, decontamination, exact_dedup, mixing, pii, quality, secrets, simhash, url_filter, warc
+from curatrix.llm.common import A_TO_Z, save, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,12 +28,42 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op1_warc_transactions", """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT payload_digest, max(page_id) AS stored FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT p.page_id, p.payload_bytes, p.payload_digest,
+       CASE WHEN stored IS NULL OR stored = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN stored <> page_id THEN stored END AS refers_to
+FROM p LEFT JOIN g ON p.payload_digest = g.payload_digest AND p.payload_bytes >= 1000""")
+def warc_transactions(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    warc.write_archives(table(spark, folder, "pages"), path)
+    rows = warc.assemble(warc.read_archives(spark, path, with_payload=False))
+    field = lambda name: F.col("metadata.fields")[name].cast("long")
+    return rows.select(field("pageid").alias("page_id"), F.col("capture.payload_bytes").alias("payload_bytes"),
+                       F.col("capture.payload_digest").alias("payload_digest"), F.col("capture.type").alias("record_type"),
+                       field("referstopage").alias("refers_to"))
+
+
 @query("op2_simhash_components")
 def simhash_components(spark: SparkSession, folder: str) -> DataFrame:
     rows = simhash.cluster(table(spark, folder, "documents"))
     return rows.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id", "n_rows")
 
 
+@query("op3_contextual_pii")
+def contextual_pii(spark: SparkSession, folder: str) -> DataFrame:
+    rows = pii.extract(table(spark, folder, "documents"))
+    return rows.select("doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_found")
+
+
+@query("op4_forest_secrets")
+def forest_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    rows = secrets.scan(table(spark, folder, "documents"), ~quality.held_out(), labels=table(spark, folder, "labels"))
+    return rows.select("doc_id", "start", "end", F.sha2("token", 256).alias("token_sha256"), "score", "secret",
+                       "label", quality.held_out().alias("held_out"))
+
+
 @query("op5_compression_quality")
 def compression_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
@@ -42,6 +73,57 @@ def compression_quality(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def _url_sql() -> str:
+    lower = f"translate({{}}, '{A_TO_Z}', '{A_TO_Z.lower()}')"
+    terms = ", ".join(f"('{t}', {w})" for t, w in url_filter.VOCABULARY.items())
+    rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in url_filter.RULES)
+    return f"""
+WITH terms(term, weight) AS (VALUES {terms}), rules(rh, rp, rv) AS (VALUES {rules}),
+u AS (SELECT row_number() OVER () AS k, page_id, coalesce(url, '') AS url FROM pages),
+s AS (SELECT k, page_id, {lower.format('url')} AS low,
+      CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^?#]*') ELSE '' END AS rest FROM u),
+h AS (SELECT k, page_id, low, {lower.format("regexp_extract(rest, '^[^/]*')")} AS host,
+      CASE WHEN contains(rest, '/') THEN substr(rest, strpos(rest, '/')) ELSE '' END AS path FROM s),
+r AS (SELECT k, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(rv, length(rh || rp)) AS rv
+      FROM h JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY k),
+v AS (SELECT k, count(*) FILTER (weight >= 1) AS strict, count(*) FILTER (weight < 1) AS soft
+      FROM h JOIN terms ON regexp_matches(low, '(^|[^a-z0-9])' || term || '([^a-z0-9]|$)') GROUP BY k)
+SELECT page_id, host, path, rule,
+       coalesce(rv, CASE WHEN coalesce(strict, 0) > 0 OR coalesce(soft, 0) >= {url_filter.SOFT_NEEDED} THEN 'block' ELSE 'allow' END) AS verdict
+FROM h LEFT JOIN r USING (k) LEFT JOIN v USING (k)"""
+
+
+@query("op6_url_vocabulary", _url_sql())
+def url_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge(table(spark, folder, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _escaped_sql(column: str) -> str:
+    text = f"replace({column}, '\\', '\\\\')"
+    for control in chat.CONTROLS:
+        text = f"replace({text}, '{control}', '{control[0]}\\{control[1:]}')"
+    return text
+
+
+#: A conversation whose texts are made of control strings.
+ADDED = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+@query("op7_prefix_targets", f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES {', '.join(str(row) for row in ADDED)})
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length({_escaped_sql('role')}) + length({_escaped_sql('text')}) + {len(chat.OPEN + chat.BETWEEN + chat.CLOSE)})::BIGINT AS formatted_chars,
+       count(*) FILTER (role = 'assistant') AS n_examples
+FROM c GROUP BY conv_id""")
+def prefix_targets(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame(ADDED, "conv_id long, turn long, role string, text string")
+    return chat.read_back(save(chat.format_turns(rows.unionByName(added)), "chat"))
+
+
 @query("op8_stream_dedup", """
 WITH n AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS b
            FROM documents)
