@@ -2,8 +2,9 @@
 
 A text is compressed in blocks of BLOCK bytes, once with either dictionary. The difference of the two compressed
 sizes per byte of text says which vocabulary explains the text better; blocks keep a dictionary at work over the
-whole of a long text. A logistic curve, fitted on labelled texts that the dictionaries have not seen, turns the
-difference into the probability of label 1.
+whole of a long text. Text that repeats itself shrinks to little with either dictionary, and so does the
+difference; the calibration therefore also sees the size that is left per byte. A logistic curve of both, fitted on
+labelled texts that the dictionaries have not seen, gives the probability of label 1.
 
 The fit takes at most `per_class` labelled texts of each class, chosen by hash of the id, and of these at most
 FIT_BYTES of text for a dictionary; texts above FIT_TEXT bytes are not fitted on. Scoring takes every whole text.
@@ -21,7 +22,7 @@ from pyspark.sql import types as T
 
 from curatrix.llm.common import text_bytes, wide
 
-BLOCK = 512
+BLOCK = 1024
 DICTIONARY = 16 << 10
 FIT_BYTES = 2 << 20
 FIT_TEXT = 64 << 10
@@ -30,11 +31,10 @@ PER_CLASS = 4000
 
 @dataclass(frozen=True)
 class CompressionModel:
-    """Two dictionaries (bad, good) and the curve: P(good) = 1 / (1 + exp(-(intercept + slope * difference)))."""
+    """Two dictionaries (bad, good) and the curve: P(good) = 1 / (1 + exp(-(curve . (1, difference, size))))."""
 
     dictionaries: tuple[bytes, bytes]
-    intercept: float
-    slope: float
+    curve: tuple[float, float, float]
     prior: float  # score of a text without a byte
 
     def compressors(self) -> list:
@@ -51,17 +51,20 @@ class CompressionModel:
     def score(self, text: bytes, compressors: list) -> float:
         if not text:
             return self.prior
-        return 1 / (1 + math.exp(-max(-50.0, min(50.0, self.intercept + self.slope * difference(text, compressors)))))
+        difference, size = measure(text, compressors)
+        z = self.curve[0] + self.curve[1] * difference + self.curve[2] * size
+        return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
 
 
-def difference(text: bytes, compressors: list) -> float:
-    """(size with the bad dictionary - size with the good one) per byte; higher is better."""
+def measure(text: bytes, compressors: list) -> tuple[float, float]:
+    """Per byte: size with the bad dictionary less that with the good one (higher is better), and the latter."""
     bad, good = (c.compress for c in compressors)
-    total = 0
+    with_bad = with_good = 0
     for at in range(0, len(text), BLOCK):
         block = text[at:at + BLOCK]
-        total += len(bad(block)) - len(good(block))
-    return total / len(text)
+        with_bad += len(bad(block))
+        with_good += len(good(block))
+    return (with_bad - with_good) / len(text), with_good / len(text)
 
 
 def train(bad: list[bytes], good: list[bytes], prior: float) -> CompressionModel:
@@ -78,34 +81,34 @@ def train(bad: list[bytes], good: list[bytes], prior: float) -> CompressionModel
                 break
             blocks += [text[at:at + BLOCK] for at in range(0, len(text), BLOCK)]
             size += len(text)
-        return zstd.train_dictionary(DICTIONARY, blocks, k=64, d=8, level=1).as_bytes()
+        return zstd.train_dictionary(DICTIONARY, blocks, k=16, d=8, level=1).as_bytes()
 
     dictionaries = dictionary(bad[::2]), dictionary(good[::2])
-    compressors = CompressionModel(dictionaries, 0.0, 0.0, prior).compressors()
-    x = [[difference(t, compressors) for t in texts if t] for texts in (bad[1::2], good[1::2])]
+    compressors = CompressionModel(dictionaries, (0.0, 0.0, 0.0), prior).compressors()
+    x = [[measure(t, compressors) for t in texts if t] for texts in (bad[1::2], good[1::2])]
     n = len(x[0]) + len(x[1])
     weight = [(1 - prior) * n / max(1, len(x[0]))] * len(x[0]) + [prior * n / max(1, len(x[1]))] * len(x[1])
-    intercept, slope = calibrate(x[0] + x[1], [0.0] * len(x[0]) + [1.0] * len(x[1]), weight)
-    return CompressionModel(dictionaries, intercept, slope, prior)
+    return CompressionModel(dictionaries, calibrate(x[0] + x[1], [0.0] * len(x[0]) + [1.0] * len(x[1]), weight), prior)
 
 
-def calibrate(x: list[float], y: list[float], weight: list[float]) -> tuple[float, float]:
-    """Weighted logistic curve by Newton's method with a small ridge on the standardised slope."""
+def calibrate(x: list[tuple[float, float]], y: list[float], weight: list[float]) -> tuple[float, float, float]:
+    """Weighted logistic regression by Newton's method with a small ridge on the standardised slopes."""
     import numpy as np
 
     v, t, w = np.array(x), np.array(y), np.array(weight)
-    mean, scale = np.average(v, weights=w), max(1e-9, float(np.sqrt(np.average((v - np.average(v, weights=w)) ** 2, weights=w))))
-    design = np.stack([np.ones(len(v)), (v - mean) / scale], 1)
-    beta = np.zeros(2)
+    mean = np.average(v, axis=0, weights=w)
+    scale = np.maximum(1e-9, np.sqrt(np.average((v - mean) ** 2, axis=0, weights=w)))
+    design = np.c_[np.ones(len(v)), (v - mean) / scale]
+    beta, ridge = np.zeros(3), np.array([1e-6, 1.0, 1.0])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        gradient = design.T @ (w * (p - t)) + np.array([0.0, 1.0]) * beta
-        hessian = (design * (w * p * (1 - p))[:, None]).T @ design + np.diag([1e-6, 1.0])
-        step = np.linalg.solve(hessian, gradient)
+        step = np.linalg.solve((design * (w * p * (1 - p))[:, None]).T @ design + np.diag(ridge),
+                               design.T @ (w * (p - t)) + ridge * beta)
         beta -= step
         if np.abs(step).max() < 1e-9:
             break
-    return float(beta[0] - beta[1] * mean / scale), float(beta[1] / scale)
+    slopes = beta[1:] / scale
+    return float(beta[0] - slopes @ mean), float(slopes[0]), float(slopes[1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
@@ -129,7 +132,95 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 .orderBy(order, "id", "text").limit(per_class).collect())
         texts[label] = [r["text"].encode() for r in rows]
     if min(len(texts[0]), len(texts[1])) < 20:
-        return CompressionModel((b"", b""), _logit(prior), 0.0, prior)
+        return CompressionModel((b"", b""), (0.0, 0.0, 0.0), prior)
+    return train(texts[0], texts[1], prior)
+
+
+def score(self, text: bytes, compressors: list) -> float:
+        if not text:
+            return self.prior
+        difference, size = measure(text, compressors)
+        z = self.curve[0] + self.curve[1] * difference + self.curve[2] * size
+        return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
+
+
+def measure(text: bytes, compressors: list) -> tuple[float, float]:
+    """Per byte: size with the bad dictionary less that with the good one (higher is better), and the latter."""
+    bad, good = (c.compress for c in compressors)
+    with_bad = with_good = 0
+    for at in range(0, len(text), BLOCK):
+        block = text[at:at + BLOCK]
+        with_bad += len(bad(block))
+        with_good += len(good(block))
+    return (with_bad - with_good) / len(text), with_good / len(text)
+
+
+def train(bad: list[bytes], good: list[bytes], prior: float) -> CompressionModel:
+    """Even-numbered texts of a class make its dictionary, odd-numbered ones fit the curve.
+
+    The classes were drawn apart, so weights give them back their shares.
+    """
+    import zstandard as zstd
+
+    def dictionary(texts: list[bytes]) -> bytes:
+        blocks, size = [], 0
+        for text in texts:
+            if size >= FIT_BYTES:
+                break
+            blocks += [text[at:at + BLOCK] for at in range(0, len(text), BLOCK)]
+            size += len(text)
+        return zstd.train_dictionary(DICTIONARY, blocks, k=16, d=8, level=1).as_bytes()
+
+    dictionaries = dictionary(bad[::2]), dictionary(good[::2])
+    compressors = CompressionModel(dictionaries, (0.0, 0.0, 0.0), prior).compressors()
+    x = [[measure(t, compressors) for t in texts if t] for texts in (bad[1::2], good[1::2])]
+    n = len(x[0]) + len(x[1])
+    weight = [(1 - prior) * n / max(1, len(x[0]))] * len(x[0]) + [prior * n / max(1, len(x[1]))] * len(x[1])
+    return CompressionModel(dictionaries, calibrate(x[0] + x[1], [0.0] * len(x[0]) + [1.0] * len(x[1]), weight), prior)
+
+
+def calibrate(x: list[tuple[float, float]], y: list[float], weight: list[float]) -> tuple[float, float, float]:
+    """Weighted logistic regression by Newton's method with a small ridge on the standardised slopes."""
+    import numpy as np
+
+    v, t, w = np.array(x), np.array(y), np.array(weight)
+    mean = np.average(v, axis=0, weights=w)
+    scale = np.maximum(1e-9, np.sqrt(np.average((v - mean) ** 2, axis=0, weights=w)))
+    design = np.c_[np.ones(len(v)), (v - mean) / scale]
+    beta, ridge = np.zeros(3), np.array([1e-6, 1.0, 1.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
+        step = np.linalg.solve((design * (w * p * (1 - p))[:, None]).T @ design + np.diag(ridge),
+                               design.T @ (w * (p - t)) + ridge * beta)
+        beta -= step
+        if np.abs(step).max() < 1e-9:
+            break
+    slopes = beta[1:] / scale
+    return float(beta[0] - slopes @ mean), float(slopes[0]), float(slopes[1])
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+        per_class: int = PER_CLASS) -> CompressionModel:
+    """Fit on rows of labels (those held out must not be in it). Rows with null id, label or text are left out.
+
+    Without texts of both classes there is nothing to tell apart: every score is then the share of label 1 among
+    labels, or one half if there are none.
+    """
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(
+        "id is not null and label in (0, 1)")
+    counts = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
+    bad, good = counts.get(0, 0), counts.get(1, 0)
+    prior = good / (bad + good) if bad + good else 0.5
+    order = F.xxhash64("id", F.lit("quality-fit"))
+    texts: dict[int, list[bytes]] = {}
+    for label in (0, 1):
+        chosen = F.broadcast(known.where(F.col("label") == label).orderBy(order, "id").limit(per_class).select("id"))
+        rows = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+                .where(F.col("text").isNotNull() & (F.octet_length("text") <= FIT_TEXT)).join(chosen, "id", "left_semi")
+                .orderBy(order, "id", "text").limit(per_class).collect())
+        texts[label] = [r["text"].encode() for r in rows]
+    if min(len(texts[0]), len(texts[1])) < 20:
+        return CompressionModel((b"", b""), (0.0, 0.0, 0.0), prior)
     return train(texts[0], texts[1], prior)
 
 
@@ -146,7 +237,7 @@ def score(docs: DataFrame, model: CompressionModel, text_col: str = "text", into
         import pyarrow as pa
 
         model = broadcast.value
-        made = model.compressors() if model.slope else None
+        made = model.compressors() if model.dictionaries[0] else None
         for batch in batches:
             texts = text_bytes(batch.column(text_col))
             scores = [model.score(t, made) if made else model.prior for t in texts]
