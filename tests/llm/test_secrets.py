@@ -1,0 +1,58 @@
+"""Findings, features, the forest, and a plan without Python."""
+
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from curatrix.llm import quality, secrets
+
+SCHEMA = "doc_id long, text string, source string, token string, score double, word string"
+
+
+def rows():
+    rng = random.Random(6)
+    out = []
+    for i in range(60):
+        secret = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+        key = "AKIA" + "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZ234567") for _ in range(15)) + "2"
+        out.append((i, f'set token = "{secret}" here and {key} there', "src/app"))
+        out.append((100 + i, f"the release-build-number-{i:04d} of chapter-section-{i}2 é", "docs/a"))
+    out += [(300, None, "x"), (301, "", None), (302, "word " * 50_000 + "abcdefgh12345", "x"), (303, "abcdefgh12345 abcdefgh12345", "x"),
+            (303, "abcdefgh12345 abcdefgh12345", "x"), (None, "abcdefgh12345", "x"), (304, "9" * 100_000, "x")]
+    return out
+
+
+def frame(spark, data):
+    return spark.createDataFrame([(*r, "clash", 1.0, "clash") for r in data], SCHEMA)
+
+
+def test_findings_are_at_their_places(spark):
+    from curatrix.llm.common import located
+
+    pattern = re.compile(secrets.TOKEN)
+    want = sorted(((i, m.start(), m.end(), m[0]) for i, t, _ in rows() for m in pattern.finditer(t or "")), key=str)
+    got = secrets.findings(located(frame(spark, rows()))).collect()
+    assert sorted(((r["doc_id"], r["start"], r["end"], r["token"]) for r in got), key=str) == want
+
+
+def test_forest_tells_secrets_from_version_names(spark):
+    got = secrets.scan(frame(spark, rows()).repartition(4), ~quality.held_out())
+    assert not re.search("Python|Pandas|Arrow|InPandas", got._jdf.queryExecution().executedPlan().toString())
+    held = got.where(quality.held_out()).where("doc_id < 200").collect()
+    assert held and all(r["secret"] == (r["doc_id"] < 100) for r in held)
+
+
+def test_coverage_counts_corpus_words(spark):
+    from curatrix.llm.common import located
+
+    docs = located(frame(spark, [(1, "chapter " * 25 + "chapter-99999999 zqxwvk-99999999", "x")]))
+    got = {r["token"]: r["coverage"] for r in secrets.features(secrets.findings(docs), docs).collect()}
+    assert got == {"chapter-99999999": 1.0, "zqxwvk-99999999": 0.0}
+
+
+def test_no_model_and_empty_tables(spark):
+    one = secrets.scan(frame(spark, [(1, "abcdefgh12345", None)]), F.lit(True)).collect()
+    assert [(r["score"], r["secret"]) for r in one] == [(1.0, True)]
+    assert secrets.scan(frame(spark, []), F.lit(True)).count() == 0
+    assert secrets.scan(frame(spark, [(1, None, "x")]), F.lit(True)).count() == 0
