@@ -9,7 +9,7 @@ from curatrix.catalog.base import RECORDS, SEQUENCES, Tables, canonical_sql, que
 from curatrix.catalog.learning import pair_rows, variants
 from curatrix.catalog.rows import SCORED_SQL, binned, saved_scores, scored
 from curatrix.catalog.scans import scratch
-from curatrix.functions.text import pair_text
+from curatrix.constants import MAX_TERMS
 from curatrix.operators import rules as R
 from curatrix.operators.metric_trees import flatten_metrics
 from curatrix.operators.ordered import dedup_first, position_in_group, top_k
@@ -86,7 +86,7 @@ def scan(t: Tables) -> DataFrame:
     return t.records.select("row_id", F.col("source").alias("source_file"), "heavy_raw", "light_raw")
 
 
-@query("p3_standardise", f"""{W}{STANDARD_SQL}, ok AS (SELECT * FROM sc WHERE length(h) BETWEEN 80 AND 180 AND length(l) BETWEEN 60 AND 140 ORDER BY source, row_id LIMIT 50000)
+@query("p3_standardise", f"""{W}{STANDARD_SQL}, ok AS (SELECT * FROM sc WHERE length(h) BETWEEN 80 AND 180 AND length(l) BETWEEN 60 AND 140)
   SELECT row_id, source AS source_file, md5(h || '[SEP]' || l) AS pair_digest FROM (SELECT *, row_number() OVER (PARTITION BY h, l ORDER BY source, row_id) AS rn FROM ok) WHERE rn = 1""")
 def p3(t: Tables) -> DataFrame:
     table, _ = curation.standardise(scan(t), ["source_file", "row_id"])
@@ -127,7 +127,7 @@ def p5(t: Tables) -> DataFrame:
 
 @query("p5_score_and_prioritise")
 def p5_scored(t: Tables) -> DataFrame:
-    rows = t.sequences.drop("score").withColumn("pair", pair_text("heavy", "light", "|"))
+    rows = t.sequences.drop("score").withColumnRenamed("text", "pair")
     table = prioritise.score_and_prioritise(rows, "row_id", "pair", "source", "lang")
     return rounded(table.select("row_id", "score", "record_category", "priority_category", "risk_bin"), 3)
 
@@ -156,7 +156,7 @@ def p7_calibration(t: Tables) -> DataFrame:
 @query("p8_source_robust_selection")
 def p8(t: Tables) -> DataFrame:
     comparison, chosen = validation.robust_select(
-        pair_rows(t), "row_id", "label", "source", variants(), ["whole", "heavy"], 20, 4, 100, 4, max_terms=20_000)
+        pair_rows(t), "row_id", "label", "source", variants(), ["whole", "heavy"], 20, 4, 100, 4, max_terms=MAX_TERMS)
     picked = chosen.select("variant", F.lit(True).alias("selected"))
     table = comparison.join(picked, "variant", "left").withColumn("selected", F.coalesce("selected", F.lit(False)))
     return rounded(table.select("variant", "row_count", "valid_folds", "weighted_roc_auc", "weighted_average_precision", "brier", "selected"), 3)
@@ -164,14 +164,14 @@ def p8(t: Tables) -> DataFrame:
 
 @query("p9_background_retrieval")
 def p9(t: Tables) -> DataFrame:
-    rows = t.records.select("row_id", "label", pair_text("heavy_raw", "light_raw", "|").alias("pair"))
+    rows = t.records.select("row_id", "label", F.col("text").alias("pair"))
     found = validation.retrieval(rows.filter("label IS NOT NULL"), rows.filter("label IS NULL"), "row_id", "pair")
     return rounded(found["enrichment"], 3)
 
 
 @query("p9_matched_retrieval")
 def p9_matched(t: Tables) -> DataFrame:
-    rows = binned(t).select("row_id", "label", "matching_bin", pair_text("heavy", "light", "|").alias("pair")).filter("pair <> ''")
+    rows = binned(t).select("row_id", "label", "matching_bin", F.col("text").alias("pair")).filter("pair <> ''")
     found = validation.retrieval(rows.filter("label IS NOT NULL"), rows.filter("label IS NULL"), "row_id", "pair", "matching_bin")
     return rounded(found["metrics"].select("rows", "accuracy", "roc_auc", "average_precision"), 3)
 
@@ -180,19 +180,20 @@ def p9_matched(t: Tables) -> DataFrame:
 def p10(t: Tables) -> DataFrame:
     docs = t.sequences.select("row_id", "text", "heavy", "light")
     refs = t.benchmark.select(F.col("item_id").alias("row_id"), "text")
-    table = shortlist.shortlist(docs, refs, "row_id", "text", "heavy", "light", saved_scores(t), max_terms=20_000)
+    table = shortlist.shortlist(docs, refs, "row_id", "text", "heavy", "light", saved_scores(t))
     return rounded(table.select("rank", "row_id", "max_similarity", "centroid_similarity", "diversity_cluster", "selected", "risk_flag_count", "review_notes"), 3)
 
 
 @query("p11_registry", """WITH m AS (SELECT user_id, event_type, CAST(avg(CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS DOUBLE) AS roc, avg(value) AS pr FROM events GROUP BY 1, 2),
   b AS (SELECT event_type, roc, pr FROM m WHERE user_id = 0)
-  SELECT user_id || '/' || event_type AS name, round(m.roc, 3) AS roc_auc, round(m.pr, 3) AS pr_auc FROM m""")
+  SELECT user_id || '/' || m.event_type AS name, round(m.roc, 3) AS roc_auc, round(m.pr, 3) AS pr_auc, round(m.roc - b.roc, 3) AS delta_roc_auc, round(m.pr - b.pr, 3) AS delta_pr_auc,
+    m.roc > b.roc AND m.pr > b.pr AS beats_all FROM m LEFT JOIN b ON m.event_type = b.event_type AND b.event_type = 'click'""")
 def p11(t: Tables) -> DataFrame:
     m = t.events.groupBy("user_id", "event_type").agg(F.avg(F.get_json_object("props", "$.k").cast("double")).alias("roc"), F.avg("value").alias("pr"))
     deep = F.struct(F.struct(F.col("roc").alias("roc_auc"), F.struct(F.col("pr").alias("mean")).alias("pr_auc")).alias("result"),
                     F.struct((F.col("roc") + 1000).alias("roc_auc"), (F.col("pr") + 1000).alias("pr_auc")).alias("kmer_reference"))
     rows = m.select(F.concat_ws("/", "user_id", "event_type").alias("name"), F.col("event_type").alias("subset"), F.to_json(deep).alias("json"))
-    return rounded(registry.registry(rows, "subset", "0/click").select("name", "roc_auc", "pr_auc"), 3)
+    return rounded(registry.registry(rows, "subset", "0/click").select("name", "roc_auc", "pr_auc", "delta_roc_auc", "delta_pr_auc", "beats_all"), 3)
 
 
 @query("p12_contract_check")

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from curatrix.catalog.base import RECORDS, SEQUENCES, Tables, query, rounded
 from curatrix.catalog.rows import BINS_SQL, binned
 from curatrix.catalog.scans import scratch
-from curatrix.functions.text import pair_text
 from curatrix.lineage import cut_lineage
 from curatrix.operators import clusters as CL
 from curatrix.operators import features as FE
@@ -58,8 +57,7 @@ def j2_capped(t: Tables) -> DataFrame:
   SELECT id AS doc_id, count(*) AS terms, round(sum(weight), 5) AS total, round(max(weight), 6) AS top FROM u GROUP BY 1""")
 def j3(t: Tables) -> DataFrame:
     docs = t.documents
-    grams = N.char_ngrams(docs, "doc_id", "text")
-    weights = N.tfidf(grams, N.text_vocab(docs, "text"), "doc_id", docs.count())
+    weights = N.tfidf(docs, "doc_id", "text", N.text_vocab(docs, "text"), docs.count())
     return weights.groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.sum("weight"), 5).alias("total"), F.round(F.max("weight"), 6).alias("top"))
 
 
@@ -79,12 +77,12 @@ def j5(t: Tables) -> DataFrame:
 
 
 def pair_rows(t: Tables) -> DataFrame:
-    """Labelled records with their two lines as model text."""
+    """Labelled records: the whole text as the pair, its first line as the heavy-only variant."""
     rows = t.records.filter("label IS NOT NULL")
-    return rows.withColumn("pair", pair_text("heavy_raw", "light_raw", "|")).select("row_id", "label", "source", "lang", "pair", "heavy_raw", "light_raw", "text")
+    return rows.select("row_id", "label", "source", "lang", F.col("text").alias("pair"), "heavy_raw", "light_raw")
 
 
-VARIANTS_SQL = f"""{RECORDS}, lab AS (SELECT *, CASE WHEN light_raw <> '' THEN heavy_raw || '|' || light_raw ELSE heavy_raw END AS pair FROM rec WHERE label IS NOT NULL),
+VARIANTS_SQL = f"""{RECORDS}, lab AS (SELECT *, text AS pair FROM rec WHERE label IS NOT NULL),
 long AS (SELECT 'whole' AS variant, source, pair AS x FROM lab UNION ALL SELECT 'heavy', source, heavy_raw FROM lab UNION ALL SELECT 'paired', source, pair FROM lab WHERE light_raw <> ''
   UNION ALL SELECT 'english', source, pair FROM lab WHERE lang = 'en' AND source = 'src1')"""
 
@@ -104,33 +102,38 @@ def j9(t: Tables) -> DataFrame:
 
 @query("j8_feature_sets")
 def j8(t: Tables) -> DataFrame:
-    rows = t.documents.join(t.labels, "doc_id").select("doc_id", F.col("quality").alias("label"), F.col("n_chars").cast("double").alias("length"),
+    """Six feature sets, fitted on the training side and measured on the other, for a random and a grouped split."""
+    rows = t.documents.join(t.labels, "doc_id").select("doc_id", "source", F.col("quality").alias("label"), F.col("n_chars").cast("double").alias("length"),
                                                        F.length(F.split_part("text", F.lit("\n"), F.lit(1))).cast("double").alias("heavy_length"), "text")
-    model = MO.fit_kmer(rows, "text", max_terms=2000)
-    kmer = PipelineModel(stages=model.stages[:-1]).transform(rows).withColumnRenamed("features", "kmer_vector").drop("terms", "counts", "weighted")
-    vectors = t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding")
-    joined = cut_lineage(MO.as_vector(kmer.join(vectors, "doc_id")).withColumnRenamed("_v", "embedding_vector").drop("text"))
+    vectors = MO.as_vector(t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding")).select("doc_id", F.col("_v").alias("embedding_vector"))
+    rows = rows.join(vectors, "doc_id")
     blocks = {"kmer": ["kmer_vector"], "embedding": ["embedding_vector"], "simple": ["length", "heavy_length"]}
     parts = None
-    for name in FE.FEATURE_SETS:
-        features = FE.feature_set(joined, blocks, name).select("label", "features")
-        fitted = MO.fit_logreg(features, penalise_intercept=True)
-        part = MO.score(features, fitted).select(F.lit(name).alias("feature_set"), "label", "score")
-        parts = part if parts is None else parts.unionByName(part)
-    return rounded(full_metrics(parts, "label", "score", ["feature_set"]).select("feature_set", "rows", "roc_auc", "average_precision"), 3)
+    for split, sides in {"random": SP.stratified_split(rows, "doc_id", "label"), "grouped": SP.group_split(rows, "source", "label")[0]}.items():
+        sides = cut_lineage(sides.select("doc_id", "label", "side", "length", "heavy_length", "embedding_vector"))
+        texts = rows.select("doc_id", "text").join(sides.select("doc_id", "side"), "doc_id")
+        kmer = MO.kmer_vectors(texts.select("doc_id", "text"), "doc_id", "text", train=texts.filter("side = 'train'").select("doc_id", "text"))
+        joined = cut_lineage(sides.join(kmer.withColumnRenamed("features", "kmer_vector"), "doc_id"))
+        for name in FE.FEATURE_SETS:
+            features = FE.feature_set(joined, blocks, name).select("label", "side", "features")
+            fitted = MO.fit_logreg(features.filter("side = 'train'").select("label", "features"), penalise_intercept=True)
+            part = MO.score(features.filter("side = 'test'"), fitted).select(F.lit(split).alias("split"), F.lit(name).alias("feature_set"), "label", "score")
+            parts = part if parts is None else parts.unionByName(part)
+    table = full_metrics(cut_lineage(parts), "label", "score", ["split", "feature_set"], min_class=1)
+    return rounded(table.select("split", "feature_set", "rows", "roc_auc", "average_precision"), 3)
 
 
 @query("k1_balanced_logreg")
 def k1(t: Tables) -> DataFrame:
     rows = pair_rows(t)
-    return rounded(MO.score(rows, MO.fit_kmer(rows, "pair")).select("row_id", "label", "score"), 3)
+    return rounded(MO.score(rows.select("row_id", "label", "pair"), MO.fit_kmer(rows, "pair")).select("row_id", "label", "score"), 3)
 
 
 @query("k2_positive_score")
 def k2(t: Tables) -> DataFrame:
     rows = pair_rows(t)
-    everyone = t.records.withColumn("pair", pair_text("heavy_raw", "light_raw", "|")).select("row_id", "pair")
-    return rounded(MO.score(everyone, MO.fit_kmer(rows, "pair", max_terms=20_000)).select("row_id", "score"), 3)
+    everyone = t.records.select("row_id", F.col("text").alias("pair"))
+    return rounded(MO.score(everyone, MO.fit_kmer(rows, "pair")).select("row_id", "score"), 3)
 
 
 @query("k3_majority_baseline", f"""{W}{RECORDS}, m AS (SELECT label AS prediction FROM rec WHERE label IS NOT NULL AND row_id % 5 <> 0 GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
@@ -173,7 +176,7 @@ def k6(t: Tables) -> DataFrame:
     folds = SP.assign_folds(pair_rows(t), "source", "label", 5)
 
     def fit_and_score(train: DataFrame, test: DataFrame) -> DataFrame:
-        return MO.score(test, MO.fit_kmer(train, "pair", max_terms=5000)).select("row_id", "label", "fold", "score")
+        return MO.score(test.select("row_id", "label", "fold", "pair"), MO.fit_kmer(train, "pair")).select("row_id", "label", "fold", "score")
 
     return rounded(SP.out_of_fold(folds, list(range(5)), fit_and_score), 3)
 
@@ -181,7 +184,7 @@ def k6(t: Tables) -> DataFrame:
 @query("k7_retrieval_scorer")
 def k7(t: Tables) -> DataFrame:
     docs = t.documents.select("doc_id", "text")
-    return rounded(MO.score(docs, retrieval_scorer(t.benchmark, docs, "text", 20_000)).select("doc_id", "score"), 3)
+    return rounded(MO.score(docs, retrieval_scorer(t.benchmark, docs, "text")).select("doc_id", "score"), 3)
 
 
 @query("k8_batch_inference")
@@ -196,8 +199,9 @@ def k8(t: Tables) -> DataFrame:
 def a11(t: Tables) -> DataFrame:
     path = scratch(t, "pair_model")
     rows = pair_rows(t)
-    load_or_fit(path, rows, lambda df: MO.fit_kmer(df, "pair", max_terms=5000))
-    model, loaded = load_or_fit(path, rows, lambda df: MO.fit_kmer(df, "pair", max_terms=5000))
+    rows = rows.select("row_id", "label", "pair")
+    load_or_fit(path, rows, lambda df: MO.fit_kmer(df, "pair"))
+    model, loaded = load_or_fit(path, rows, lambda df: MO.fit_kmer(df, "pair"))
     return rounded(MO.score(rows, model).select("row_id", "score", F.lit(loaded).alias("loaded")), 3)
 
 
@@ -273,12 +277,12 @@ def l8(t: Tables) -> DataFrame:
 
 @query("o1_kmeans")
 def o1(t: Tables) -> DataFrame:
-    return CL.cluster(CL.scaled_vectors(t.embeddings), starts=5).select("vec_id", "label", "cluster_id")
+    return CL.cluster(CL.scaled_vectors(t.embeddings), starts=20).select("vec_id", "label", "cluster_id")
 
 
 @query("o2_silhouette")
 def o2(t: Tables) -> DataFrame:
-    return rounded(CL.silhouette(CL.cluster(CL.scaled_vectors(t.embeddings), starts=3), "vec_id"), 3)
+    return rounded(CL.silhouette(CL.cluster(CL.scaled_vectors(t.embeddings), starts=20)), 3)
 
 
 @query("o3_pca")

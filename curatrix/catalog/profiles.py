@@ -31,15 +31,14 @@ def e2(t: Tables) -> DataFrame:
     return P.label_counts(t.records, "label", ["source"])
 
 
-PROFILE_LINES = [1, 2, 3, 4]
+PROFILE_COLUMNS = ("text", "lang", "source")
 
 
-@query("e3_missing_profile", " UNION ALL ".join(f"""SELECT 'line{i}' AS "column", count(*) FILTER (trim(regexp_replace(lower(split_part(text, chr(10), {i})), '[^a-z0-9]+', ' ', 'g')) IN {MARKERS}) AS missing,
-  count(*) FILTER (trim(regexp_replace(lower(split_part(text, chr(10), {i})), '[^a-z0-9]+', ' ', 'g')) NOT IN {MARKERS}) AS non_missing,
-  round(100.0 * missing / count(*), 2) AS missing_percent FROM documents""" for i in PROFILE_LINES))
+@query("e3_missing_profile", " UNION ALL ".join(f"""SELECT '{c}' AS "column", count(*) FILTER (trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g')) IN {MARKERS}) AS missing,
+  count(*) FILTER (trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g')) NOT IN {MARKERS}) AS non_missing,
+  round(100.0 * missing / count(*), 2) AS missing_percent FROM documents""" for c in PROFILE_COLUMNS))
 def e3(t: Tables) -> DataFrame:
-    return P.missing_profile(t.documents.select(*[
-        F.split_part("text", F.lit("\n"), F.lit(i)).alias(f"line{i}") for i in PROFILE_LINES]))
+    return P.missing_profile(t.documents.select(*PROFILE_COLUMNS))
 
 
 def describe_sql(table: str, column: str, by: str = "") -> str:

@@ -92,11 +92,10 @@ def c6(t: Tables) -> DataFrame:
     return X.funnel_counts(X.funnel(df, steps))
 
 
-@query("c7_any_value_count", f"""SELECT count(*) FILTER (NOT ({' AND '.join(f"trim(regexp_replace(lower(split_part(text, chr(10), {i})), '[^a-z0-9]+', ' ', 'g')) IN {MARKERS}" for i in (4, 5))})) AS rows_with_value,
+@query("c7_any_value_count", f"""SELECT count(*) FILTER (NOT ({' AND '.join(f"trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g')) IN {MARKERS}" for c in ('text', 'source'))})) AS rows_with_value,
   count(*) AS rows FROM documents""")
 def c7(t: Tables) -> DataFrame:
-    lines = t.documents.select(*[F.split_part("text", F.lit("\n"), F.lit(i)).alias(f"line{i}") for i in (4, 5)])
-    return X.count_any_value(lines, ["line4", "line5"])
+    return X.count_any_value(t.documents, ["text", "source"])
 
 
 @query("c8_filter_scorable", f"{W}{SEQUENCES} SELECT row_id FROM seq WHERE heavy <> '' AND lower(heavy) NOT IN {MISSING9} AND length(heavy) >= 20")

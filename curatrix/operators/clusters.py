@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import vector_to_array
-from pyspark.mllib.linalg import Vectors as OldVectors
-from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curatrix.operators.models import as_vector
-from curatrix.operators.ordered import top_k
 
 
 def scaled_vectors(df: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -28,8 +28,9 @@ def cluster_count(rows: int) -> int:
 
 
 def best_kmeans(df: DataFrame, k: int, starts: int = 20, seed: int = 42) -> KMeansModel:
-    """The start with the least cost."""
-    models = (KMeans(k=k, seed=seed + i, maxIter=50).fit(df) for i in range(starts))
+    """The start with the least cost; some starts run side by side."""
+    with ThreadPoolExecutor(4) as pool:
+        models = list(pool.map(lambda i: KMeans(k=k, seed=seed + i, maxIter=50).fit(df), range(starts)))
     return min(models, key=lambda m: m.summary.trainingCost)
 
 
@@ -43,36 +44,12 @@ def cluster(df: DataFrame, k: int | None = None, starts: int = 20) -> DataFrame:
     return model.transform(df).withColumnRenamed("prediction", "cluster_id")
 
 
-def silhouette(df: DataFrame, key: str, sample: int = 2000) -> DataFrame:
-    """Mean Euclidean silhouette over a fixed sample in hash order.
-
-    The sample size is a constant, so the pairs inside the task do not grow with the table.
-    """
-    picked = top_k(
-        df.select(key, "cluster_id", vector_to_array("features").alias("x")),
-        [F.sha2(F.col(key).cast("string"), 256), F.col(key)], sample,
-    ).select("cluster_id", "x")
-    pdf = picked.toPandas()
-    packed = df.sparkSession.sparkContext.broadcast((np.array(pdf["x"].tolist()), pdf["cluster_id"].to_numpy()))
-
-    def widths(batches):
-        points, owner = packed.value
-        labels = np.unique(owner)
-        for pdf in batches:
-            values = []
-            for x, own in zip(pdf["x"], pdf["cluster_id"]):
-                far = np.sqrt(((points - np.asarray(x)) ** 2).sum(axis=1))
-                sizes = {c: (owner == c).sum() for c in labels}
-                if sizes[own] <= 1 or len(labels) < 2:
-                    values.append(0.0)
-                    continue
-                inside = far[owner == own].sum() / (sizes[own] - 1)
-                outside = min(far[owner == c].mean() for c in labels if c != own)
-                values.append((outside - inside) / max(inside, outside, 1e-300))
-            yield pd.DataFrame({"width": values})
-
-    return picked.mapInPandas(widths, "width double").agg(
-        F.avg("width").alias("silhouette"), F.count("*").alias("sampled_rows"))
+def silhouette(df: DataFrame, cluster_column: str = "cluster_id") -> DataFrame:
+    """Mean silhouette of all rows under squared Euclidean distance: one pass over sums per cluster, no pairs."""
+    rows = df.select("features", F.col(cluster_column).cast("double").alias("prediction"))
+    counts = rows.agg(F.count("*").alias("rows"), F.count_distinct("prediction").alias("clusters")).first()
+    width = ClusteringEvaluator(featuresCol="features").evaluate(rows) if counts["clusters"] > 1 else 0.0
+    return df.sparkSession.createDataFrame([(float(width), counts["rows"])], "silhouette double, rows long")
 
 
 def reduce_pca(df: DataFrame, key: str, k: int = 2) -> DataFrame:
@@ -83,10 +60,25 @@ def reduce_pca(df: DataFrame, key: str, k: int = 2) -> DataFrame:
 
 
 def reduce_svd(df: DataFrame, key: str, k: int = 2) -> DataFrame:
-    """Truncated SVD coordinates: vectors times the right singular vectors."""
-    vectors = df.select("features").rdd.map(lambda r: OldVectors.fromML(r["features"]))
-    right = RowMatrix(vectors).computeSVD(k, computeU=False).V.toArray()
+    """Truncated SVD coordinates: vectors times the leading right singular vectors.
+
+    X'X is summed in blocks, one d x d matrix per task; its eigenvectors are found on the driver.
+    """
     x = vector_to_array("features")
+    width = df.select(F.size(x)).first()[0]
+
+    def gram(batches):
+        total = np.zeros((width, width))
+        for batch in batches:
+            block = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            total += block.T @ block
+        cells = pa.array(np.arange(width * width))
+        yield pa.RecordBatch.from_arrays([cells, pa.array(total.ravel())], names=["cell", "value"])
+
+    sums = df.select(x.alias("x")).mapInArrow(gram, "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).toPandas()
+    matrix = np.zeros(width * width)
+    matrix[sums["cell"]] = sums["value"]
+    right = np.linalg.eigh(matrix.reshape(width, width))[1][:, ::-1]
     coordinates = []
     for i in range(k):
         axis = F.array(*[F.lit(float(v)) for v in right[:, i]])

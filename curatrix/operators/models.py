@@ -3,26 +3,26 @@
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, MultilayerPerceptronClassifier
-from pyspark.ml.feature import (
-    CountVectorizer, CountVectorizerModel, ElementwiseProduct, IDF, Normalizer, SQLTransformer, StandardScaler,
-    VectorAssembler,
-)
+from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors
-from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from curatrix.lineage import cut_lineage, spread
-from curatrix.operators.ngrams import ngram_array
+from curatrix.lineage import cut_lineage, shared_path
+from curatrix.operators.ngrams import number_terms, text_vocab, tfidf_rows, weigh
 
-# The number of distinct n-grams is bounded by the alphabet, not by the number of rows.
-ALL_TERMS = 1 << 20
 ROWS_PER_TASK = 1_000
+FITS_AT_ONCE = 4
 
 
 def with_weights(df: DataFrame, label: str = "label", name: str = "weight") -> tuple[DataFrame, float]:
@@ -43,7 +43,7 @@ def logistic(total_weight: float, features: str = "features", label: str = "labe
     )
 
 
-def even_scale(df: DataFrame, features: str, label: str, total_weight: float) -> DataFrame:
+def even_scale(df: DataFrame, features: str, label: str, total_weight: float, size: int | None = None) -> DataFrame:
     """Add two rows of vanishing weight that give every feature the same spread.
 
     Spark always optimises over features divided by their deviation. For rare n-grams that
@@ -53,7 +53,7 @@ def even_scale(df: DataFrame, features: str, label: str, total_weight: float) ->
     twenty passes reach it.
     """
     value = 1e7
-    size = df.select(F.size(vector_to_array(features)).alias("n")).first()["n"]
+    size = size or df.select(F.size(vector_to_array(features)).alias("n")).first()["n"]
     pads = df.sparkSession.range(0, 2, 1, 1).select(
         F.col("id").cast("int").alias(label), F.lit(total_weight / value**2).alias("weight"),
         array_to_vector(F.array_repeat(F.lit(value), size)).alias(features),
@@ -61,15 +61,18 @@ def even_scale(df: DataFrame, features: str, label: str, total_weight: float) ->
     return df.select(label, "weight", features).unionByName(pads)
 
 
-def fit_logreg(df: DataFrame, features: str = "features", label: str = "label", penalise_intercept: bool = False):
+def fit_logreg(
+    df: DataFrame, features: str = "features", label: str = "label", penalise_intercept: bool = False, size: int | None = None
+):
     """Balanced logistic regression; optionally the intercept is penalised like a weight.
 
-    Every pass runs one task per partition, so small inputs are drawn together first.
+    Every pass runs one task per partition, so small inputs are drawn together first. ``size`` is the
+    length of the vectors, where the caller knows it.
     """
     weighted, total = with_weights(df, label)
-    weighted = weighted.coalesce(max(1, min(weighted.rdd.getNumPartitions(), int(total) // ROWS_PER_TASK)))
+    weighted = weighted.coalesce(max(1, int(total) // ROWS_PER_TASK))
     if not penalise_intercept:
-        return logistic(total, features, label).fit(even_scale(weighted, features, label, total))
+        return logistic(total, features, label).fit(even_scale(weighted, features, label, total, size))
     one = SQLTransformer(statement="SELECT *, 1.0D AS _one FROM __THIS__")
     wide = VectorAssembler(inputCols=[features, "_one"], outputCol="_with_one")
     padded = even_scale(wide.transform(one.transform(weighted)), "_with_one", label, total)
@@ -83,38 +86,81 @@ def positive_score(scored: DataFrame, name: str = "score") -> DataFrame:
 
 def score(df: DataFrame, model) -> DataFrame:
     """Probability of label 1 by a fitted or loaded model; batches are Spark's partitions."""
-    helpers = ["terms", "counts", "tfidf", "features", "weighted", "_one", "_with_one", "rawPrediction", "probability", "prediction"]
+    if isinstance(model, KmerModel):
+        return model.score(df)
+    helpers = ["features", "_one", "_with_one", "rawPrediction", "probability", "prediction"]
     scored = positive_score(model.transform(df))
     return scored.drop(*[c for c in helpers if c not in df.columns])
 
 
-def expander(text: str, lo: int = 3, hi: int = 5) -> SQLTransformer:
-    return SQLTransformer(statement=f"SELECT *, {ngram_array(text, lo, hi)} AS terms FROM __THIS__")
+@dataclass
+class KmerModel:
+    """N-gram TF-IDF and logistic weights: ``terms`` has (term, ix, idf, weight), one row per term."""
+
+    terms: DataFrame
+    intercept: float
+    text: str
+
+    def score(self, df: DataFrame, name: str = "score") -> DataFrame:
+        """df with the probability of label 1; the vocabulary is met through a join, whatever its size."""
+        intercept = self.intercept
+
+        def probability(n, rows, ix, counts, known):
+            total = np.full(n, intercept)
+            if len(rows):
+                weights = counts * known["idf"]
+                norms = np.sqrt(np.bincount(rows, weights * weights, n))
+                total += np.bincount(rows, weights * known["weight"] / norms[rows], n)
+            return [pa.array(1 / (1 + np.exp(-total)))]
+
+        return weigh(df.drop(name), self.text, self.terms, probability, [(name, T.DoubleType())])
+
+    def save(self, path: str) -> None:
+        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
+        spark = self.terms.sparkSession
+        spark.createDataFrame([(self.intercept, self.text)], "intercept double, text string").write.mode("overwrite").json(f"{path}/head")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> KmerModel:
+        head = spark.read.schema("intercept double, text string").json(f"{path}/head").first()
+        return KmerModel(spark.read.parquet(f"{path}/terms"), head["intercept"], head["text"])
+
+
+def as_vectors(df: DataFrame, keys: list[str], ix: str, w: str, size: int) -> DataFrame:
+    """keys and ``features``, sparse vectors made of two arrays, written once for the passes of a fit.
+
+    The columns are written in the layout in which Spark stores vectors, and read as vectors.
+    """
+    packed = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), F.col(ix).alias("indices"), F.col(w).alias("values"))
+    path = shared_path(df.sparkSession, "vectors")
+    df.select(*keys, packed.alias("features")).write.parquet(path)
+    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("features", VectorUDT())])
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def kmer_vectors(df: DataFrame, key: str, text: str, min_df: int = 2, max_terms: int | None = None, train: DataFrame | None = None) -> DataFrame:
+    """(key, features): n-gram TF-IDF of every row of df; the vocabulary is that of ``train``."""
+    train = df if train is None else train
+    terms = cut_lineage(number_terms(text_vocab(train, text, min_df, max_terms), train.count()))
+    return as_vectors(tfidf_rows(df, key, text, terms), [key], "ix", "w", terms.count())
 
 
 def fit_kmer(
     df: DataFrame, text: str = "text", label: str = "label", min_df: int = 2, max_terms: int | None = None
-) -> PipelineModel:
-    """N-gram TF-IDF and balanced logistic regression, fitted on these rows only."""
-    rows = spread(df)
-    expand = expander(text)
-    terms = expand.transform(rows)
-    counter = CountVectorizer(inputCol="terms", outputCol="counts", minDF=min_df, vocabSize=max_terms or ALL_TERMS).fit(terms)
-    counted = cut_lineage(counter.transform(terms).select(label, "counts"))
-    plain = IDF(inputCol="counts", outputCol="tfidf").fit(counted)
-    scale = ElementwiseProduct(
-        scalingVec=Vectors.dense(plain.idf.toArray() + 1.0), inputCol="counts", outputCol="weighted")
-    unit = Normalizer(inputCol="weighted", outputCol="features", p=2.0)
-    model = fit_logreg(unit.transform(scale.transform(counted)), label=label)
-    return PipelineModel(stages=[expand, counter, scale, unit, model])
-
-
-def vectors_from_vocab(df: DataFrame, text: str, vocab: list[str], idf: list[float]) -> DataFrame:
-    """TF-IDF unit vectors for a given vocabulary."""
-    counter = CountVectorizerModel.from_vocabulary(vocab, inputCol="terms", outputCol="counts")
-    scale = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="counts", outputCol="weighted")
-    unit = Normalizer(inputCol="weighted", outputCol="features", p=2.0)
-    return PipelineModel(stages=[expander(text), counter, scale, unit]).transform(df).drop("terms", "counts", "weighted")
+) -> KmerModel:
+    """N-gram TF-IDF and balanced logistic regression, fitted on these rows only; all terms unless capped."""
+    terms = cut_lineage(number_terms(text_vocab(df, text, min_df, max_terms), df.count()))
+    size = terms.count()
+    vectors = as_vectors(tfidf_rows(df, label, text, terms), [label], "ix", "w", size)
+    fitted = fit_logreg(vectors, label=label, size=size)
+    return KmerModel(cut_lineage(with_coefficients(terms, fitted)), float(fitted.intercept), text)
+
+
+def with_coefficients(terms: DataFrame, fitted: LogisticRegressionModel) -> DataFrame:
+    """terms with the fitted weight of each; the coefficients are the model that the optimiser returned."""
+    weights = fitted.coefficients.toArray()
+    found = terms.sparkSession.createDataFrame(pd.DataFrame({"ix": np.arange(len(weights), dtype=np.int32), "weight": weights}))
+    return terms.join(found.withColumn("ix", F.col("ix").cast("int")), "ix").select("term", "ix", "idf", "weight")
 
 
 def fit_embedding_logreg(df: DataFrame, vector: str = "embedding", label: str = "label") -> PipelineModel:
@@ -161,24 +207,35 @@ def majority(train: DataFrame, test: DataFrame, label: str = "label") -> DataFra
 class FoldModels:
     """Leave-one-group-out fits that share one pass of n-gram counting.
 
-    Counts per term and group are summed once; the document frequencies and totals a fold
-    would see are the overall ones minus those of its held-out groups. Terms below ``min_df``
-    in the training rows, or beyond ``max_terms``, get weight 0 there, which removes them.
+    The terms of every row are counted once and kept as (ix, tf). The document frequencies and totals
+    a fold would see are the overall ones minus those of its held-out group. Terms below ``min_df`` in
+    the training rows, or beyond ``max_terms`` there, get weight 0, which removes them.
     """
 
     def __init__(self, df: DataFrame, key: str, text: str, label: str, group: str, min_df: int = 2, max_terms: int | None = None):
         self.key, self.label, self.group = key, label, group
         self.min_df, self.max_terms = min_df, max_terms
-        terms = expander(text).transform(spread(df.select(key, label, group, text)))
-        counter = CountVectorizer(inputCol="terms", outputCol="counts", minDF=min_df, vocabSize=ALL_TERMS).fit(terms)
-        self.rows = cut_lineage(counter.transform(terms).select(key, label, group, "counts"))
-        self.size = len(counter.vocabulary)
+        rows = df.select(key, label, group, text)
+        self.terms = cut_lineage(number_terms(text_vocab(rows, text, min_df), rows.count()))
+        self.size = self.terms.count()
+
+        def counts_of(n, rows, ix, counts, known):
+            offsets = pa.array(np.searchsorted(rows, np.arange(n + 1)), pa.int32())
+            return [pa.ListArray.from_arrays(offsets, pa.array(ix, pa.int32())),
+                    pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int64()))]
+
+        fields = [("ix", T.ArrayType(T.IntegerType())), ("tf", T.ArrayType(T.LongType()))]
+        counted = weigh(rows, text, self.terms.select("term", "ix"), counts_of, fields)
+        self.rows = cut_lineage(counted.select(key, label, group, "ix", "tf"))
         self.total = self._sums(self.rows)
 
     def _sums(self, rows: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-        found = rows.select(Summarizer.metrics("numNonZeros", "sum").summary(F.col("counts")).alias("s"), ).select(
-            "s.numNonZeros", "s.sum").first()
-        return rows.count(), found["numNonZeros"].toArray(), found["sum"].toArray()
+        """Rows, and per term the rows with it and its occurrences: vectors of the length of the model."""
+        found = (rows.select(F.explode(F.arrays_zip("ix", "tf")).alias("c")).groupBy("c.ix")
+                 .agg(F.count("*").alias("df"), F.sum("c.tf").alias("total")).toPandas())
+        df, total = np.zeros(self.size), np.zeros(self.size)
+        df[found["ix"]], total[found["ix"]] = found["df"], found["total"]
+        return rows.count(), df, total
 
     def weights(self, held: DataFrame) -> np.ndarray:
         n, df, total = (a - b for a, b in zip(self.total, self._sums(held)))
@@ -190,21 +247,45 @@ class FoldModels:
             keep &= capped
         return np.where(keep, np.log((1.0 + n) / (1.0 + df)) + 1.0, 0.0)
 
-    def predict(self, held: DataFrame, train: DataFrame) -> DataFrame:
-        """(key, label, group, score) of the held rows from a model of the others."""
-        scale = ElementwiseProduct(scalingVec=Vectors.dense(self.weights(held)), inputCol="counts", outputCol="weighted")
-        unit = Normalizer(inputCol="weighted", outputCol="features", p=2.0)
-        model = fit_logreg(unit.transform(scale.transform(train)), label=self.label)
-        return score(unit.transform(scale.transform(held)), model).select(self.key, self.label, self.group, "score")
+    def _vectors(self, idfs: np.ndarray) -> DataFrame:
+        """All rows as unit vectors under one fold's weights."""
+        packed = self.rows.sparkSession.sparkContext.broadcast(idfs)
+        names = [self.key, self.label, self.group]
+
+        def run(batches):
+            for batch in batches:
+                ix, tf = batch.column(3), batch.column(4)
+                sizes = np.diff(ix.offsets.to_numpy())
+                owners = np.repeat(np.arange(len(sizes)), sizes)
+                at = ix.flatten().to_numpy()
+                w = tf.flatten().to_numpy() * packed.value[at]
+                norms = np.sqrt(np.bincount(owners, w * w, len(sizes)))
+                w = w / np.where(norms > 0, norms, 1.0)[owners]
+                ends = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+                yield pa.RecordBatch.from_arrays([
+                    *batch.columns[:3], pa.ListArray.from_arrays(ends, pa.array(at, pa.int32())),
+                    pa.ListArray.from_arrays(ends, pa.array(w, pa.float64()))], names=[*names, "ix", "w"])
+
+        shape = T.StructType([*[self.rows.schema[c] for c in names], T.StructField("ix", T.ArrayType(T.IntegerType())),
+                              T.StructField("w", T.ArrayType(T.DoubleType()))])
+        made = self.rows.select(*names, "ix", "tf").mapInArrow(run, shape)
+        return as_vectors(made, names, "ix", "w", self.size)
+
+    def predict(self, value) -> DataFrame:
+        """(key, label, group, score) of one group from a model of the others."""
+        own = F.col(self.group).eqNullSafe(F.lit(value))
+        vectors = self._vectors(self.weights(self.rows.filter(own)))
+        model = fit_logreg(vectors.filter(~own).select(self.label, "features"), label=self.label, size=self.size)
+        return cut_lineage(score(vectors.filter(own), model).select(self.key, self.label, self.group, "score"))
 
     def leave_out(self, groups: list) -> DataFrame:
-        """Scores of every listed group, each from the rows of all other groups."""
-        parts = None
-        for value in groups:
-            held = self.rows.filter(F.col(self.group) == value)
-            part = self.predict(held, self.rows.filter(F.col(self.group) != value))
-            parts = part if parts is None else parts.unionByName(part)
-        return parts
+        """Scores of every listed group, each from the rows of all other groups; some fits run side by side."""
+        with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+            parts = list(pool.map(self.predict, groups))
+        scored = parts[0]
+        for part in parts[1:]:
+            scored = scored.unionByName(part)
+        return scored
 
 
 def gradient_norm(model: LogisticRegressionModel, df: DataFrame, label: str = "label") -> float:

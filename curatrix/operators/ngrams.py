@@ -1,27 +1,30 @@
 """Character n-grams, vocabulary and TF-IDF weights.
 
 Text is expanded whole and counted inside the row, so no shuffle is needed to count terms per
-record; document frequencies combine before their shuffle.
+record; document frequencies combine before their shuffle. Texts meet a vocabulary of any size
+in the same way: rows are packed into slices of bounded size, the distinct terms of each slice
+are joined with the vocabulary, and what is known of them goes back to the slice, which is then
+weighed in one piece. What is shuffled are distinct terms per slice, not windows.
 """
 
 from __future__ import annotations
 
+import random
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
+from pyspark.sql import types as T
 
 from curatrix.functions.text import as_col
-from curatrix.lineage import spread
+from curatrix.lineage import cut_lineage, spread
 from curatrix.operators.ordered import global_position
 
 ROWS_PER_SLICE = 500
 CHARS_PER_SLICE = 500_000
-BROADCAST_TERMS = 500_000  # above this the vocabulary is joined, not broadcast
 
 
 def ngram_text(value: Column | str) -> Column:
@@ -29,13 +32,6 @@ def ngram_text(value: Column | str) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(as_col(value), F.lit(""))), r"(?U)\s{2,}", " ")
 
 
-def ngram_array(value: str, lo: int = 3, hi: int = 5) -> str:
-    """SQL for all windows as an array: a lookahead captures, one code point is consumed."""
-    text = rf"regexp_replace(lower(coalesce({value}, '')), r'(?U)\s{{2,}}', ' ')"
-    parts = [f"regexp_extract_all({text}, r'(?s)(?=(.{{{n}}})).', 1)" for n in range(lo, hi + 1)]
-    return f"concat({', '.join(parts)})"
-
-
 def _kind(df: DataFrame, key: str) -> str:
     return df.schema[key].dataType.simpleString()
 
@@ -142,8 +138,12 @@ def char_ngrams(df: DataFrame, key: str, text: str, lo: int = 3, hi: int = 5) ->
 
 
 def _keep_terms(vocab: DataFrame, min_df: int, max_terms: int | None) -> DataFrame:
+    """Terms in min_df rows or more; with max_terms only the most frequent, ties by term."""
     vocab = vocab.filter(F.col("df") >= min_df)
-    return vocab.orderBy(F.col("total").desc(), "term").limit(max_terms) if max_terms else vocab
+    if not max_terms:
+        return vocab
+    placed = global_position(vocab, [F.col("total").desc(), "term"], "_p")
+    return placed.filter(F.col("_p") <= max_terms).drop("_p")
 
 
 def fit_vocab(ngrams: DataFrame, min_df: int = 2, max_terms: int | None = None) -> DataFrame:
@@ -176,49 +176,100 @@ def idf(df: Column, rows: int) -> Column:
     return F.log((1.0 + rows) / (1.0 + df)) + 1.0
 
 
-def tfidf(ngrams: DataFrame, vocab: DataFrame, key: str, rows: int) -> DataFrame:
-    """(key, term, weight) with unit length per row; terms outside the vocabulary drop out.
-
-    The join is on the term, the norm over the terms of one row; neither gathers a hot term.
-    """
-    weighted = ngrams.join(vocab.select("term", "df"), "term").select(
-        key, "term", (F.col("tf") * idf(F.col("df"), rows)).alias("_w")
-    )
-    length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(W.partitionBy(key)))
-    return weighted.select(key, "term", (F.col("_w") / length).alias("weight"))
-
-
 def number_terms(vocab: DataFrame, rows: int) -> DataFrame:
     """(term, ix, idf): dense index in term order."""
     placed = global_position(vocab.select("term", "df"), ["term"], "_p")
     return placed.select("term", (F.col("_p") - 1).cast("int").alias("ix"), idf(F.col("df"), rows).alias("idf"))
 
 
-def tfidf_rows(df: DataFrame, key: str, text: str, terms: DataFrame, lo: int = 3, hi: int = 5) -> DataFrame:
-    """(key, ix, w): one sparse unit vector per row, indices ascending.
-
-    ``terms`` comes from ``number_terms``. A vocabulary of counted, bounded size travels with
-    the tasks and nothing is shuffled; a larger one is joined.
-    """
-    if terms.count() > BROADCAST_TERMS:
-        return _joined_rows(df, key, text, terms, lo, hi)
-    pdf = terms.orderBy("ix").toPandas()
-    table = df.sparkSession.sparkContext.broadcast((TermTable(pdf["term"].tolist()), pdf["idf"].to_numpy(dtype=float)))
+def pack(df: DataFrame, text: str) -> DataFrame:
+    """(slice, rows, texts): pieces of bounded size; rows holds all columns, texts the normal form of ``text``."""
+    whole = spread(df.select(F.struct(*df.columns).alias("row"), ngram_text(text).alias("text")))
 
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, idfs = table.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, texts in slices(batch, 1):
-                rows, ix, counts = known.count(texts, lo, hi)
-                weights = counts * idfs[ix]
-                norms = np.sqrt(np.bincount(rows, weights * weights, len(texts)))
-                ends = np.searchsorted(rows, np.arange(len(texts) + 1))
-                offsets = pa.array(ends, pa.int32())
+                ends = pa.array([0, len(texts)], pa.int32())
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(start, len(texts)), pa.ListArray.from_arrays(offsets, pa.array(ix, pa.int32())),
-                    pa.ListArray.from_arrays(offsets, pa.array(weights / norms[rows], pa.float64()))], names=[key, "ix", "w"])
+                    pa.array([random.getrandbits(63)]), pa.ListArray.from_arrays(ends, batch.column(0).slice(start, len(texts))),
+                    pa.ListArray.from_arrays(ends, pa.array(texts, pa.string()))], names=["slice", "rows", "texts"])
 
-    return _texts(df, key, text).mapInArrow(weigh, f"{key} {_kind(df, key)}, ix array<int>, w array<double>")
+    shape = T.StructType([
+        T.StructField("slice", T.LongType()), T.StructField("rows", T.ArrayType(whole.schema["row"].dataType)),
+        T.StructField("texts", T.ArrayType(T.StringType()))])
+    return cut_lineage(whole.mapInArrow(run, shape))
+
+
+def meet_terms(packed: DataFrame, terms: DataFrame, lo: int = 3, hi: int = 5) -> DataFrame:
+    """packed with ``known``: what ``terms`` (term, ix, and further columns) says of the terms of each slice."""
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                for _, _, found in sum_windows(batch.column(1)[row].as_py(), lo, hi):
+                    name = pa.array(np.full(len(found), batch.column(0)[row].as_py(), dtype=np.int64))
+                    yield pa.RecordBatch.from_arrays([name, found], names=["slice", "term"])
+
+    needed = packed.select("slice", "texts").mapInArrow(distinct, "slice long, term string")
+    known = needed.join(terms, "term").groupBy("slice").agg(F.collect_list(F.struct(*terms.columns)).alias("known"))
+    return packed.join(known, "slice", "left")
+
+
+def weigh(
+    df: DataFrame, text: str, terms: DataFrame, make: Callable, fields: list[tuple[str, T.DataType]], lo: int = 3, hi: int = 5
+) -> DataFrame:
+    """All columns of df and the columns that ``make`` gives for every row.
+
+    ``make(n, rows, ix, counts, known)`` sees one slice of n rows: parallel arrays of row, term index and
+    count in row and index order, and for each entry's term a dict of the columns of ``terms``. It returns
+    one Arrow array of n values per field.
+    """
+    met = meet_terms(pack(df, text), terms, lo, hi).select("rows", "texts", "known")
+    names_out = [*df.columns, *[n for n, _ in fields]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                texts, held = batch.column(1)[row].as_py(), batch.column(2)[row].values
+                columns = {} if held is None else {held.type.field(i).name: held.field(i) for i in range(held.type.num_fields)}
+                numbers = columns["ix"].to_numpy() if columns else np.zeros(0, dtype=np.int64)
+                order = np.argsort(numbers, kind="stable")
+                names = columns["term"].take(pa.array(order)).to_pylist() if columns else []
+                rows, at, counts = TermTable(names).count(texts, lo, hi)
+                known = {c: v.to_numpy(zero_copy_only=False)[order][at] for c, v in columns.items() if c not in ("term", "ix")}
+                made = make(len(texts), rows, numbers[order][at], counts, known)
+                parts = batch.column(0)[row].values
+                fixed = [parts.field(i) for i in range(parts.type.num_fields)]
+                yield pa.RecordBatch.from_arrays([*fixed, *made], names=names_out)
+
+    return met.mapInArrow(run, T.StructType([*df.schema.fields, *[T.StructField(n, k) for n, k in fields]]))
+
+
+def unit_weights(n: int, rows: np.ndarray, counts: np.ndarray, idfs: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """TF-IDF weights of unit length per row, and where each row's entries begin."""
+    weights = counts * idfs
+    norms = np.sqrt(np.bincount(rows, weights * weights, n)) if n else np.zeros(0)
+    return weights / norms[rows], pa.array(np.searchsorted(rows, np.arange(n + 1)), pa.int32())
+
+
+def tfidf_rows(df: DataFrame, key: str, text: str, terms: DataFrame, lo: int = 3, hi: int = 5) -> DataFrame:
+    """(key, ix, w): one sparse unit vector per row, indices ascending; ``terms`` comes from ``number_terms``."""
+
+    def vectors(n, rows, ix, counts, known):
+        weights, offsets = unit_weights(n, rows, counts, known.get("idf", np.zeros(len(rows))))
+        return [pa.ListArray.from_arrays(offsets, pa.array(ix, pa.int32())),
+                pa.ListArray.from_arrays(offsets, pa.array(weights, pa.float64()))]
+
+    fields = [("ix", T.ArrayType(T.IntegerType())), ("w", T.ArrayType(T.DoubleType()))]
+    return weigh(df.select(key, text), text, terms, vectors, fields, lo, hi).select(key, "ix", "w")
+
+
+def tfidf(df: DataFrame, key: str, text: str, vocab: DataFrame, rows: int) -> DataFrame:
+    """(key, term, weight) with unit length per row; terms outside the vocabulary drop out."""
+    numbered = cut_lineage(number_terms(vocab, rows))
+    cells = tfidf_rows(df, key, text, numbered).select(key, F.explode(F.arrays_zip("ix", "w")).alias("c"))
+    return cells.select(key, F.col("c.ix").alias("ix"), F.col("c.w").alias("weight")).join(
+        numbered.select("ix", "term"), "ix").select(key, "term", "weight")
 
 
 class TermTable:
@@ -279,21 +330,9 @@ class TermTable:
         return table[:, 0], table[:, 1], table[:, 2]
 
 
-def _joined_rows(df: DataFrame, key: str, text: str, terms: DataFrame, lo: int, hi: int) -> DataFrame:
-    cell = F.struct("ix", (F.col("tf") * F.col("idf")).alias("w"))
-    packed = (
-        char_ngrams(df, key, text, lo, hi).join(terms, "term").select(key, cell.alias("cell"))
-        .groupBy(key).agg(F.array_sort(F.collect_list("cell")).alias("cells"),
-                          F.sqrt(F.sum(F.col("cell.w") * F.col("cell.w"))).alias("_len"))
-    )
-    return df.select(key).join(packed, key, "left").select(
-        key, F.coalesce(F.col("cells.ix"), F.array().cast("array<int>")).alias("ix"),
-        F.coalesce(F.transform("cells.w", lambda w: w / F.col("_len")), F.array().cast("array<double>")).alias("w"))
-
-
 def fit_tfidf_rows(
     df: DataFrame, key: str, text: str, min_df: int = 2, max_terms: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Vocabulary over all rows of df and their vectors."""
-    terms = number_terms(text_vocab(df, text, min_df, max_terms), df.count())
+    terms = cut_lineage(number_terms(text_vocab(df, text, min_df, max_terms), df.count()))
     return tfidf_rows(df, key, text, terms), terms

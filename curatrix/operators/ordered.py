@@ -13,6 +13,7 @@ from pyspark.sql.window import Window as W
 
 from curatrix.lineage import cut_lineage
 
+REPORT_ROWS = 1_000  # a list of this size may be gathered in one task
 ROW_BITS = 33  # monotonically_increasing_id keeps the row number of a partition in 33 bits
 
 
@@ -167,19 +168,20 @@ def top_n_per_group(
 def dedup_first(df: DataFrame, keys: list[str], order: str, count: str | None = None) -> DataFrame:
     """The row with the smallest order per key, optionally with the number of copies.
 
-    One aggregation that combines before the shuffle, so copies of a hot key leave each map
-    task as one row.
+    One aggregation on a hash of the keys that combines before the shuffle, so long keys are no
+    sort key and copies of a hot key leave each map task as one row.
     """
-    rest = [c for c in df.columns if c not in keys]
-    aggs = [F.min_by(F.struct(*rest), F.col(order)).alias("_first")]
+    aggs = [F.min_by(F.struct(*df.columns), F.col(order)).alias("_first")]
     if count:
         aggs.append(F.count("*").alias(count))
-    kept = df.groupBy(*keys).agg(*aggs)
-    return kept.select(*df_columns(df.columns, keys), *([count] if count else []))
+    kept = df.groupBy(key_hash(keys).alias("_hash")).agg(*aggs)
+    return kept.select(*[F.col("_first")[c].alias(c) for c in df.columns], *([count] if count else []))
 
 
-def df_columns(columns: list[str], keys: list[str]) -> list[Column]:
-    return [F.col(c) if c in keys else F.col("_first")[c].alias(c) for c in columns]
+def key_hash(keys: list[str]) -> Column:
+    """SHA-256 of a key; null parts differ from empty ones."""
+    parts = [F.coalesce(F.concat(F.length(F.col(k).cast("string")).cast("string"), F.lit(":"), F.col(k).cast("string")), F.lit("-")) for k in keys]
+    return F.sha2(F.concat_ws("|", *parts), 256)
 
 
 def duplicate_count(df: DataFrame, keys: list[str], name: str = "duplicate_count") -> DataFrame:
@@ -217,8 +219,10 @@ def short_ids(df: DataFrame, value: str, name: str, tag: str = "source_", digits
 
 
 def cap_rows(df: DataFrame, order: list[Column | str], n: int) -> DataFrame:
-    """First n rows of a total order."""
-    return df.orderBy(*order).limit(n)
+    """First n rows of a total order; a large n is cut by position, so no task gathers n rows per split."""
+    if n <= REPORT_ROWS:
+        return df.orderBy(*order).limit(n)
+    return global_position(df, order, "_pos").filter(F.col("_pos") <= n).drop("_pos")
 
 
 def sort_stable(df: DataFrame, keys: list[Column | str], tie: str) -> DataFrame:

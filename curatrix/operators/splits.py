@@ -112,9 +112,9 @@ def assign_folds(df: DataFrame, group: str, label: str, k: int = 5) -> DataFrame
     return join_on(rows, placed.select("_group", fold.alias("fold")), ["_group"]).drop("_group")
 
 
-def balance(a: DataFrame, b: DataFrame, key: str, cap: int = 50_000, seed: int = SPLIT_SEED) -> tuple[DataFrame, DataFrame, int]:
-    """The same number of rows of both classes, at most the cap; (a, b, rows per class)."""
-    n = min(a.count(), b.count(), cap)
+def balance(a: DataFrame, b: DataFrame, key: str, cap: int | None = None, seed: int = SPLIT_SEED) -> tuple[DataFrame, DataFrame, int]:
+    """The same number of rows of both classes, on request at most the cap; (a, b, rows per class)."""
+    n = min(x for x in (a.count(), b.count(), cap) if x is not None)
     parts = [draw(df, key, [], F.lit(n), seed).filter("drawn").drop("drawn") for df in (a, b)]
     return parts[0], parts[1], n
 

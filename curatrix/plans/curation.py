@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curatrix.constants import (
-    ALIAS_NAMES, HEAVY_LENGTHS, LIGHT_LENGTHS, MAX_BACKGROUND_ROWS, METADATA_JOIN_COLUMNS, NEUTRAL_ORDER,
+    ALIAS_NAMES, HEAVY_LENGTHS, LIGHT_LENGTHS, METADATA_JOIN_COLUMNS, NEUTRAL_ORDER,
     POSITIONAL_NAMES, RAW_RENAMES, SINGLE_DOMAIN_TYPE, TARGET_MENTION,
 )
 from curatrix.functions.text import clean_sequence, is_missing, is_valid_alphabet, mentions, pair_text
@@ -84,8 +84,8 @@ def strict_table(cleaned: DataFrame) -> tuple[DataFrame, DataFrame]:
     return table.withColumnRenamed("neutralising_label", "label"), funnel_counts(tagged)
 
 
-def standardise(scan: DataFrame, order: list[str], cap: int | None = MAX_BACKGROUND_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Background pairs of plausible length, unique, and the row counts per file.
+def standardise(scan: DataFrame, order: list[str], cap: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Background pairs of plausible length, unique, and the row counts per file; ``cap`` keeps the first rows only.
 
     ``scan`` has heavy_raw, light_raw, source_file and the order columns.
     """

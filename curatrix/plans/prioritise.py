@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +18,7 @@ def prioritise(records: DataFrame, row_id: str, v_group: str, region: str) -> Da
     ``records`` has heavy, light, cdrh3, label, conflict and score. Risk needs flags, priority
     needs risk and category, ranks need the group keys.
     """
-    df = R.with_prediction(records)
+    df = R.with_prediction(records.drop("text", "heavy_raw", "light_raw"))
     df = R.with_risk(R.with_sequence_flags(df, "heavy", "light", "cdrh3"))
     df = R.with_priority_group(df, v_group, region, "cdrh3_length")
     df = df.withColumn("record_category", R.record_category())
@@ -32,11 +31,12 @@ def prioritise(records: DataFrame, row_id: str, v_group: str, region: str) -> Da
 
 
 def score_and_prioritise(
-    records: DataFrame, row_id: str, text: str, v_group: str, region: str, model: PipelineModel | None = None
+    records: DataFrame, row_id: str, text: str, v_group: str, region: str, model=None
 ) -> DataFrame:
     """As above with the score of a classifier fitted on the labelled rows, or a given one."""
     fitted = model or fit_kmer(records.filter(F.col("label").isNotNull()), text)
-    return prioritise(cut_lineage(score(records, fitted)), row_id, v_group, region)
+    scored = cut_lineage(score(records.select(row_id, text), fitted).select(row_id, "score"))
+    return prioritise(records.drop(text, "score").join(scored, row_id), row_id, v_group, region)
 
 
 def diverse_groups(table: DataFrame, row_id: str, region: str, v_group: str | None, old_key: str | None = None,

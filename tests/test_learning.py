@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from curatrix.operators import clusters as CL
 from curatrix.operators import models as MO
+from curatrix.operators import ngrams as N
 from curatrix.operators import splits as SP
+from curatrix.sources.sinks import load_or_fit
 
 WORDS = ["qvqlves", "evqllesgg", "divmtqs", "eivltqs", "gggasd", "ywtfr"]
 
@@ -17,16 +19,47 @@ def texts(spark, n=120):
 
 def test_fit_reaches_the_penalised_optimum(spark):
     df = texts(spark)
-    model = MO.fit_kmer(df, "text")
-    features = df
-    for stage in model.stages[:-1]:
-        features = stage.transform(features)
-    assert MO.gradient_norm(model.stages[-1], features.select("label", "features")) < 1e-3
-    assert model.stages[-1].summary.totalIterations < 100
+    features = MO.kmer_vectors(df, "id", "text").join(df.select("id", "label"), "id").select("label", "features")
+    fitted = MO.fit_logreg(features)
+    assert MO.gradient_norm(fitted, features) < 1e-3
+    assert fitted.summary.totalIterations < 100
     length = features.select(F.aggregate(MO.vector_to_array("features"), F.lit(0.0), lambda a, x: a + x * x).alias("n")).collect()
     assert all(abs(r["n"] - 1) < 1e-9 for r in length)
 
 
+def test_scores_are_those_of_the_fitted_vectors(spark):
+    df = texts(spark)
+    vectors = MO.kmer_vectors(df, "id", "text").join(df.select("id", "label"), "id")
+    want = {r["id"]: r["score"] for r in MO.score(vectors, MO.fit_logreg(vectors.select("label", "features"))).select("id", "score").collect()}
+    model = MO.fit_kmer(df, "text")
+    got = {r["id"]: r["score"] for r in MO.score(df, model).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 2e-3 for i in want)
+    unseen = MO.score(spark.createDataFrame([(1, "zz"), (2, None)], "id long, text string"), model).collect()
+    base = 1 / (1 + np.exp(-model.intercept))
+    assert all(abs(r["score"] - base) < 1e-9 for r in unseen)
+
+
+def test_saved_model_gives_the_same_scores(spark, tmp_path):
+    df = texts(spark)
+    model, loaded = load_or_fit(str(tmp_path / "m"), df, lambda rows: MO.fit_kmer(rows, "text"))
+    again, found = load_or_fit(str(tmp_path / "m"), df, lambda rows: MO.fit_kmer(rows, "text"))
+    assert (loaded, found) == (False, True)
+    one, two = ({r["id"]: r["score"] for r in MO.score(df, m).collect()} for m in (model, again))
+    assert one.keys() == two.keys() and all(abs(one[i] - two[i]) < 1e-12 for i in one)
+
+
+def test_a_vocabulary_beyond_a_million_terms_is_kept_whole(spark):
+    """Two rows each hold the same letters in random order: every window of both counts."""
+    rng = np.random.default_rng(1)
+    letters = "".join(chr(0x4E00 + c) for c in rng.integers(0, 8000, 400_000))
+    df = spark.createDataFrame([(0, letters), (1, letters)], "id long, text string")
+    terms = N.number_terms(N.text_vocab(df, "text"), 2)
+    want = len({letters[i:i + n] for n in (3, 4, 5) for i in range(len(letters) - n + 1)})
+    assert want > 1 << 20 and terms.count() == want
+    rows = N.tfidf_rows(df, "id", "text", terms).select("id", F.size("ix").alias("n")).collect()
+    assert {r["n"] for r in rows} == {want}
+
+
 def test_fold_models_equal_fresh_fits(spark):
     df = texts(spark)
     shared = MO.FoldModels(df, "id", "text", "label", "source").leave_out(["g1", "g4"])
@@ -67,4 +100,11 @@ def test_cluster_rules(spark):
     df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, embedding array<double>")
     found = CL.cluster(CL.scaled_vectors(df), starts=3)
     assert found.groupBy("cluster_id").count().filter("count = 30").count() == 4
-    assert CL.silhouette(found, "id").first()["silhouette"] > 0.9
+    width = CL.silhouette(found).first()
+    assert width["silhouette"] > 0.9 and width["rows"] == 120
+    matrix = np.array(points)
+    scaled = (matrix - matrix.mean(0)) / matrix.std(0, ddof=1)
+    own = {r["id"]: (r["sv1"], r["sv2"]) for r in CL.reduce_svd(CL.scaled_vectors(df), "id").collect()}
+    _, _, right = np.linalg.svd(scaled, full_matrices=False)
+    want = scaled @ right[:2].T
+    assert all(abs(abs(own[i][0]) - abs(want[i][0])) < 1e-6 for i in own)

@@ -47,14 +47,16 @@ def test_wide_alphabets_fall_back(spark):
     assert list(zip(rows.tolist(), ix.tolist(), counts.tolist())) == [(0, 0, 1), (0, 2, 1), (1, 1, 2)]
 
 
-def test_vectors_have_unit_length_on_both_paths(spark, monkeypatch):
-    near, terms = N.fit_tfidf_rows(docs(spark), "id", "text", 2)
-    monkeypatch.setattr(N, "BROADCAST_TERMS", 0)
-    joined = {r["id"]: (r["ix"], r["w"]) for r in N.tfidf_rows(docs(spark), "id", "text", terms).collect()}
-    for r in near.collect():
-        assert r["ix"] == joined[r["id"]][0] and np.allclose(r["w"], joined[r["id"]][1])
-        assert not r["w"] or abs(np.linalg.norm(r["w"]) - 1) < 1e-9
-    long = N.tfidf(N.char_ngrams(docs(spark), "id", "text"), N.text_vocab(docs(spark), "text"), "id", len(TEXTS))
+def test_vectors_equal_counted_weights(spark):
+    vectors, terms = N.fit_tfidf_rows(docs(spark), "id", "text", 2)
+    known = {r["term"]: (r["ix"], r["idf"]) for r in terms.collect()}
+    rows = vectors.collect()
+    assert len(rows) == len(TEXTS)
+    for r in rows:
+        want = sorted((known[t][0], n * known[t][1]) for t, n in plain(TEXTS[r["id"]]).items() if t in known)
+        norm = np.sqrt(sum(w * w for _, w in want)) or 1.0
+        assert r["ix"] == [i for i, _ in want] and np.allclose(r["w"], [w / norm for _, w in want])
+    long = N.tfidf(docs(spark), "id", "text", N.text_vocab(docs(spark), "text"), len(TEXTS))
     lengths = long.groupBy("id").agg(F.sum(F.col("weight") ** 2).alias("s")).collect()
     assert all(abs(r["s"] - 1) < 1e-9 for r in lengths)
 
