@@ -17,7 +17,7 @@ from curatrix.operators import ngrams as N
 from curatrix.operators import splits as SP
 from curatrix.operators.metrics import full_metrics
 from curatrix.plans.shortlist import retrieval_scorer
-from curatrix.sources.sinks import load_or_fit
+from curatrix.sources.sinks import load_or_fit, save_model
 
 W = "WITH "
 
@@ -187,22 +187,28 @@ def k7(t: Tables) -> DataFrame:
     return rounded(MO.score(docs, retrieval_scorer(t.benchmark, docs, "text")).select("doc_id", "score"), 3)
 
 
-@query("k8_batch_inference")
+@query("k8_batch_inference", "SELECT vec_id, CAST(0 AS DOUBLE) AS difference FROM embeddings")
 def k8(t: Tables) -> DataFrame:
     rows = class_vectors(t)
     path = scratch(t, "embedding_model")
-    MO.fit_embedding_logreg(rows).write().overwrite().save(path)
-    return rounded(MO.score(MO.as_vector(rows), PipelineModel.load(path)).select("vec_id", "score"), 3)
+    model = MO.fit_embedding_logreg(rows)
+    save_model(model, path)
+    fresh = MO.score(MO.as_vector(rows), model).select("vec_id", F.col("score").alias("fresh"))
+    loaded = MO.score(MO.as_vector(rows), PipelineModel.load(path)).select("vec_id", "score")
+    return rounded(loaded.join(fresh, "vec_id").select("vec_id", F.abs(F.col("score") - F.col("fresh")).alias("difference")))
 
 
-@query("a11_load_or_fit")
+@query("a11_load_or_fit", f"{W}{RECORDS} SELECT row_id, true AS loaded, CAST(0 AS DOUBLE) AS difference FROM rec WHERE label IS NOT NULL")
 def a11(t: Tables) -> DataFrame:
     path = scratch(t, "pair_model")
     rows = pair_rows(t)
     rows = rows.select("row_id", "label", "pair")
-    load_or_fit(path, rows, lambda df: MO.fit_kmer(df, "pair"))
-    model, loaded = load_or_fit(path, rows, lambda df: MO.fit_kmer(df, "pair"))
-    return rounded(MO.score(rows, model).select("row_id", "score", F.lit(loaded).alias("loaded")), 3)
+    model = MO.fit_kmer(rows, "pair")
+    save_model(model, path)
+    again, loaded = load_or_fit(path, rows, lambda df: MO.fit_kmer(df, "pair"))
+    fresh = MO.score(rows, model).select("row_id", F.col("score").alias("fresh"))
+    scored = MO.score(rows, again).select("row_id", "score").join(fresh, "row_id")
+    return rounded(scored.select("row_id", F.lit(loaded).alias("loaded"), F.abs(F.col("score") - F.col("fresh")).alias("difference")))
 
 
 @query("l1_stratified_split", f"""{W}{RECORDS} SELECT row_id, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY sha256(row_id || ':42')) <= ceil(0.2 * count(*) OVER (PARTITION BY label))
@@ -280,9 +286,16 @@ def o1(t: Tables) -> DataFrame:
     return CL.cluster(CL.scaled_vectors(t.embeddings), starts=20).select("vec_id", "label", "cluster_id")
 
 
-@query("o2_silhouette")
+@query("o2_silhouette", """WITH e AS (SELECT vec_id, label AS c, unnest(range(len(embedding))) AS d, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+  s AS (SELECT vec_id, c, d, (x - avg(x) OVER w) / stddev_samp(x) OVER w AS x FROM e WINDOW w AS (PARTITION BY d)),
+  n AS (SELECT vec_id, c, sum(x * x) AS q FROM s GROUP BY 1, 2), k AS (SELECT c AS k, count(*) AS size, sum(q) AS q FROM n GROUP BY 1),
+  m AS (SELECT c AS k, d, sum(x) AS y FROM s GROUP BY 1, 2), p AS (SELECT vec_id, k, sum(x * y) AS p FROM s JOIN m USING (d) GROUP BY 1, 2),
+  g AS (SELECT n.vec_id, n.c, k.k, k.size, n.q + k.q / k.size - 2 * p.p / k.size AS far FROM n JOIN p ON n.vec_id = p.vec_id JOIN k ON k.k = p.k),
+  ab AS (SELECT vec_id, max(size) FILTER (c = k) AS size, max(far * size / nullif(size - 1, 0)) FILTER (c = k) AS a, min(far) FILTER (c <> k) AS b FROM g GROUP BY 1)
+  SELECT round(avg(CASE WHEN size = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 3) AS silhouette, count(*) AS rows FROM ab""")
 def o2(t: Tables) -> DataFrame:
-    return rounded(CL.silhouette(CL.cluster(CL.scaled_vectors(t.embeddings), starts=20)), 3)
+    """Silhouette of the given labels as clusters, over all rows."""
+    return rounded(CL.silhouette(CL.scaled_vectors(t.embeddings), "label"), 3)
 
 
 @query("o3_pca")

@@ -101,7 +101,11 @@ def m11(t: Tables) -> DataFrame:
     return rounded(S.budget_evaluation(labelled(t), "label", "score", "row_id", {"by_lang": "lang", "by_source": "source"}, [25, 50, 100, 200]))
 
 
-@query("m11_random_reference")
+@query("m11_random_reference", f"""{W}{RECORDS}, r AS (SELECT *, row_number() OVER (PARTITION BY rep ORDER BY sha256(row_id || ':' || rep || ':42'), row_id) AS place
+    FROM rec, range(100) t(rep) WHERE label IS NOT NULL),
+  h AS (SELECT budget, rep, count(*) AS n, count(*) FILTER (label = 1) AS hits FROM r, (VALUES (25), (50), (100), (200)) b(budget) WHERE place <= budget GROUP BY 1, 2)
+  SELECT budget, max(n) AS selected_count, round(avg(hits), 6) AS positive_count_mean, round(stddev_samp(hits), 6) AS positive_count_std,
+  round(avg(hits / n), 6) AS precision_mean, round(stddev_samp(hits / n), 6) AS precision_std FROM h GROUP BY 1""")
 def m11_random(t: Tables) -> DataFrame:
     return rounded(S.random_reference(labelled(t), "label", "row_id", [25, 50, 100, 200], repeats=100))
 

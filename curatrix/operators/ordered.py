@@ -119,8 +119,9 @@ def draw(
     """
     if not strata:
         return draw(df.withColumn("_all", F.lit(0)), key, ["_all"], wanted, seed, name).drop("_all")
-    hashed = df.withColumn("_hash", F.sha2(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))), 256))
-    hashed = hashed.withColumn("_bin", F.left("_hash", F.lit(4)))
+    full = df.withColumn("_hash", F.sha2(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))), 256))
+    # Strata and hashes are written once; the input itself is read for them and for the flags only.
+    hashed = cut_lineage(full.select(*strata, "_hash")).withColumn("_bin", F.left("_hash", F.lit(4)))
     bins = hashed.groupBy(*strata, "_bin").agg(F.count("*").alias("_rows"))
     if isinstance(wanted, DataFrame):
         goal = wanted
@@ -145,9 +146,9 @@ def draw(
         F.col("_last").isNull() | (F.col("_hash") <= F.col("_last"))
     )
     return (
-        join_on(hashed, limits, strata, "left")
+        join_on(full, limits, strata, "left")
         .withColumn(name, F.coalesce(taken, F.lit(False)))
-        .drop("_hash", "_bin", "_wanted", "_last")
+        .drop("_hash", "_wanted", "_last")
     )
 
 

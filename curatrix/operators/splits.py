@@ -123,15 +123,17 @@ def matched_sample(
     a: DataFrame, b: DataFrame, key: str, bin_: str, seed: int = SPLIT_SEED
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Per bin the smaller count from both sides; (a, b, audit of the bins of a)."""
-    left = a.groupBy(bin_).agg(F.count("*").alias("left_rows"))
-    right = b.groupBy(bin_).agg(F.count("*").alias("right_rows"))
+    narrow = [cut_lineage(df.select(key, bin_)) for df in (a, b)]
+    left = narrow[0].groupBy(bin_).agg(F.count("*").alias("left_rows"))
+    right = narrow[1].groupBy(bin_).agg(F.count("*").alias("right_rows"))
     audit = left.join(right, bin_, "left").na.fill(0, ["right_rows"])
-    audit = audit.withColumn("wanted", F.least("left_rows", "right_rows"))
+    audit = cut_lineage(audit.withColumn("wanted", F.least("left_rows", "right_rows")))
     goal = audit.select(bin_, "wanted")
-    sides = [
-        draw(df, key, [bin_], goal, seed).filter("drawn").drop("drawn")
-        for df in (a, b.join(goal.filter("wanted > 0").select(bin_), bin_, "left_semi"))
-    ]
+    sides = []
+    for df, keys in zip((a, b), narrow):
+        keys = join_on(keys, goal.filter("wanted > 0").select(bin_), [bin_], "left_semi")
+        drawn = draw(keys, key, [bin_], goal, seed).filter("drawn").select(key)
+        sides.append(df.join(drawn, key, "left_semi"))
     return sides[0], sides[1], audit.withColumnRenamed("wanted", "matched_rows")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from curatrix.lineage import cut_lineage
 from curatrix.operators.joins import with_param
 from curatrix.operators.ordered import global_position, round_robin, top_k, top_n_per_group
 
@@ -61,20 +62,22 @@ def random_reference(
 ) -> DataFrame:
     """Mean and deviation of hits over repeated random draws of each budget size.
 
-    A draw is the first rows by hash of (key, repeat). Rows whose hash is far above the budget
-    share cannot be drawn and leave before the sort; if that bound was too tight for any
-    repeat, the draw runs without it.
+    A draw is the first rows by SHA-256 of (key, repeat, seed). A row goes on only for the repeats in which
+    its hash is below a bound a little above the budget's share; the bound doubles until every repeat has
+    enough rows.
     """
     rows = df.count()
     most = min(max(budgets), rows)
-    spread = df.select(key, label, with_param("repeat", list(range(repeats)))).withColumn(
-        "_h", F.xxhash64(F.col(key).cast("string"), F.col("repeat"), F.lit(seed))
-    )
-    share = min(1.0, (2 * most + 200) / max(rows, 1))
-    near = spread.filter(F.col("_h") <= F.lit(int(-(2**63) + share * (2**64 - 1)))) if share < 1.0 else spread
-    if share < 1.0:
-        short = near.groupBy("repeat").count().filter(F.col("count") >= most).count() < repeats
-        near = spread if short else near
+    hashes = F.transform(F.sequence(F.lit(0), F.lit(repeats - 1)), lambda r: F.struct(
+        r.alias("repeat"), F.sha2(F.concat_ws(":", F.col(key).cast("string"), r.cast("string"), F.lit(str(seed))), 256).alias("_h")))
+    share = (1.5 * most + 50) / max(rows, 1)
+    while True:
+        bound = f"{int(min(share, 1.0) * (16**8 - 1)):08x}" + "g"  # above every hash with these eight digits
+        near = cut_lineage(df.select(key, label, F.explode(F.filter(hashes, lambda h: h["_h"] < bound)).alias("_d")).select(key, label, "_d.*"))
+        full = near.groupBy("repeat").count().filter(F.col("count") >= most).count()
+        if share >= 1.0 or full == repeats:
+            break
+        share *= 2
     order = W.partitionBy("repeat").orderBy("_h", key)
     drawn = near.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= most)
     hits = (
