@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from curatrix.lineage import cut_lineage
+
 SKIPPED_PATHS = ("baseline", "kmer", "majority")
-CANDIDATE = "array<struct<path:string,payload:string>>"
 
 
 def scalar_metric(payload: Column, name: str) -> Column:
@@ -23,32 +22,35 @@ def metric_pair(payload: Column) -> tuple[Column, Column]:
     return scalar_metric(payload, "roc_auc"), pr
 
 
-def _objects(text: str | None) -> list[tuple[str, str]]:
-    """Every nested object with its path; the JSON of one metric file is small."""
-    found: list[tuple[str, str]] = []
-
-    def walk(node: object, path: str) -> None:
-        if isinstance(node, dict):
-            found.append((path, json.dumps(node)))
-            for key, value in node.items():
-                walk(value, f"{path}.{key}" if path else str(key))
-        elif isinstance(node, list):
-            for i, value in enumerate(node):
-                walk(value, f"{path}.{i}")
-
-    if text:
-        walk(json.loads(text), "")
-    return found
+def nested_objects(df: DataFrame, name: str, payload: str) -> DataFrame:
+    """(name, path, object): every object of each JSON text with its path, level by level down to the deepest."""
+    level = cut_lineage(df.select(F.col(name).alias("name"), F.lit("").alias("path"), F.parse_json(F.col(payload)).alias("node"))
+                        .filter("node IS NOT NULL"))
+    levels = None
+    while not level.isEmpty():
+        levels = level if levels is None else levels.unionByName(level)
+        members = df.sparkSession.sql(
+            "SELECT name, path, m.pos, m.key, m.value AS node FROM {level}, LATERAL variant_explode(node) AS m", level=level)
+        step = F.coalesce("key", F.col("pos").cast("string"))
+        inner = members.select("name", F.when(F.col("path") == "", step).otherwise(F.concat_ws(".", "path", step)).alias("path"), "node")
+        level = cut_lineage(inner.filter(F.schema_of_variant("node").rlike("^(OBJECT|ARRAY)")))
+    levels = level if levels is None else levels
+    return levels.filter(F.schema_of_variant("node").startswith("OBJECT")).select(F.col("name").alias(name), "path", "node")
 
 
 def flatten_metrics(df: DataFrame, name: str, payload: str) -> DataFrame:
     """(name, path, roc_auc, pr_auc) of every nested object with a metric, baselines left out."""
-    objects = F.udf(_objects, CANDIDATE, useArrow=True)
-    rows = df.select(name, F.explode(objects(payload)).alias("o")).select(name, "o.path", "o.payload")
-    roc, pr = metric_pair(F.col("payload"))
+    rows = nested_objects(df, name, payload)
     lowered = F.lower("path")
     clean = ~lowered.rlike("|".join(SKIPPED_PATHS))
+    roc = variant_metric("roc_auc")
+    pr = F.coalesce(variant_metric("pr_auc"), variant_metric("average_precision"))
     return (
         rows.filter(clean).select(name, "path", roc.alias("roc_auc"), pr.alias("pr_auc"))
         .filter(F.col("roc_auc").isNotNull() | F.col("pr_auc").isNotNull())
     )
+
+
+def variant_metric(name: str) -> Column:
+    """As ``scalar_metric``, of a parsed object."""
+    return F.coalesce(*[F.try_variant_get("node", f"$.{name}{inner}", "double") for inner in ("", ".mean", ".value", ".max")])

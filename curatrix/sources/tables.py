@@ -4,21 +4,28 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterable
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from curatrix.constants import HEAVY_COLUMN_CANDIDATES, LIGHT_COLUMN_CANDIDATES
+from curatrix.lineage import cut_lineage
+from curatrix.operators.ordered import global_position
 
 SUPPORTED = (".csv", ".tsv")
 
 
-def read_csv_typed(spark: SparkSession, path: str, schema: T.StructType, sep: str | None = None) -> DataFrame:
-    """Header CSV or TSV under a fixed schema; common missing tokens become null."""
+def read_csv_typed(
+    spark: SparkSession, path: str, schema: T.StructType, sep: str | None = None, multi_line: bool = False
+) -> DataFrame:
+    """Header CSV or TSV under a fixed schema; common missing tokens become null.
+
+    ``multi_line`` takes quoted line breaks and then reads each file in one task.
+    """
     sep = sep or ("\t" if path.lower().endswith(".tsv") else ",")
-    df = spark.read.csv(path, header=True, schema=schema, sep=sep, multiLine=False, escape='"')
+    df = spark.read.csv(path, header=True, schema=schema, sep=sep, multiLine=multi_line, escape='"')
     tokens = ["", "NA", "N/A", "n/a", "NaN", "nan", "NULL", "null", "None", "#N/A", "<NA>"]
     return df.select(*[
         F.when(F.col(f.name).isin(tokens), F.lit(None)).otherwise(F.col(f.name)).alias(f.name)
@@ -27,9 +34,9 @@ def read_csv_typed(spark: SparkSession, path: str, schema: T.StructType, sep: st
     ])
 
 
-def read_csv_text(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """Every column as string; blank stays blank and is never null."""
-    return spark.read.csv(path, header=True, inferSchema=False, sep=sep, escape='"').na.fill("")
+def read_csv_text(spark: SparkSession, path: str, sep: str = ",", multi_line: bool = False) -> DataFrame:
+    """Every column as string; blank stays blank and is never null. ``multi_line`` as in ``read_csv_typed``."""
+    return spark.read.csv(path, header=True, inferSchema=False, sep=sep, escape='"', multiLine=multi_line).na.fill("")
 
 
 def pick_source(paths: Iterable[str], preferred: tuple[str, ...] = ()) -> str:
@@ -60,51 +67,39 @@ def scan_paired_files(
 ) -> DataFrame:
     """Two columns of a set of CSV files whose header sits behind 0 to 2 extra lines.
 
-    Only the first lines of each file are read to find its header; files with the same header
-    form one scan. Lines up to the header and lines wider than it are dropped; short lines are
-    filled with blanks.
+    The first lines of all files are found in one job (each task keeps a few lines per file), headers are
+    judged as rows, and all files are parsed in one scan: a file is known by its full path, its lines by
+    their place. Lines up to the header and lines wider than it are dropped; short lines are filled with
+    blanks. A record is one line; ``read_csv_text`` with ``multi_line`` takes quoted line breaks.
     """
-    depth = max(skip_probe) + 1
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select("path")
-    files = sorted(r["path"] for r in listed.collect())  # names only, contents are not read
-    with ThreadPoolExecutor(16) as pool:
-        heads = list(pool.map(lambda f: [r["value"] for r in spark.read.text(f).limit(depth).collect()], files))
-    classes: dict[str, list[tuple[str, list[str]]]] = {}
-    for file, lines in zip(files, heads):
-        for line_no, line in enumerate(lines):
-            columns = _split_header(line)
-            if line_no in skip_probe and find_column(columns, heavy) and find_column(columns, light):
-                classes.setdefault(line, []).append((file, lines[:line_no + 1]))
-                break
-    if not classes:
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line_no"))
+    lines = spark.read.option("recursiveFileLookup", True).text(paths).select(
+        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("source_file"), place.alias("place"))
+    first = lines.withColumn("nth", F.row_number().over(W.partitionBy("path").orderBy("place"))).filter(F.col("nth") <= max(skip_probe) + 1)
+    names = F.transform(F.split("value", ","), lambda c: F.lower(F.trim(F.regexp_replace(F.trim(c), '^"+|"+$', ""))))
+    spots = [_first_place(names, candidates) for candidates in (heavy, light)]
+    heads = first.filter(F.col("nth").isin([n + 1 for n in skip_probe])).select(
+        "path", "nth", F.col("place").alias("head"), F.size(names).alias("width"), spots[0].alias("heavy_at"), spots[1].alias("light_at"))
+    heads = heads.filter("heavy_at IS NOT NULL AND light_at IS NOT NULL").groupBy("path").agg(
+        F.min_by(F.struct("head", "width", "heavy_at", "light_at"), "nth").alias("h")).select("path", "h.*")
+    heads = cut_lineage(heads)
+    widest = heads.agg(F.max("width")).first()[0]
+    if widest is None:
         return spark.createDataFrame([], "heavy_raw string, light_raw string, source_file string, line_no long")
-    return union_parts([_scan_class(spark, header, members, heavy, light) for header, members in sorted(classes.items())])
-
-
-def _scan_class(
-    spark: SparkSession, header: str, members: list[tuple[str, list[str]]], heavy: list[str], light: list[str]
-) -> DataFrame:
-    columns = _split_header(header)
-    skipped = spark.createDataFrame(
-        [(os.path.basename(file), line) for file, lines in members for line in lines], "source_file string, value string"
-    ).distinct()
-    fields = ", ".join(f"c{i} string" for i in range(len(columns) + 1))  # the last one catches extra cells
-    lines = spark.read.text([file for file, _ in members]).filter(F.col("value") != "").select(
-        "value", F.col("_metadata.file_name").alias("source_file"), F.monotonically_increasing_id().alias("line_no"))
-    parsed = (
-        lines.join(skipped, ["source_file", "value"], "left_anti")
-        .select(F.from_csv("value", fields, {"mode": "PERMISSIVE", "escape": '"'}).alias("r"), "source_file", "line_no")
-        .filter(F.col(f"r.c{len(columns)}").isNull())
-    )
-    places = [columns.index(find_column(columns, names)) for names in (heavy, light)]
-    return parsed.select(
-        F.coalesce(F.col(f"r.c{places[0]}"), F.lit("")).alias("heavy_raw"),
-        F.coalesce(F.col(f"r.c{places[1]}"), F.lit("")).alias("light_raw"), "source_file", "line_no",
-    )
+    fields = ", ".join(f"c{i} string" for i in range(widest + 1))  # the last one catches extra cells
+    body = lines.filter(F.col("value") != "").join(heads, "path").filter(F.col("place") > F.col("head"))
+    cells = F.array(*[F.col("r")[f"c{i}"] for i in range(widest + 1)])
+    parsed = body.withColumn("r", F.from_csv("value", fields, {"mode": "PERMISSIVE", "escape": '"'})).withColumn("cells", cells)
+    fitting = parsed.filter(F.get("cells", F.col("width")).isNull())
+    return fitting.select(
+        F.coalesce(F.get("cells", F.col("heavy_at")), F.lit("")).alias("heavy_raw"),
+        F.coalesce(F.get("cells", F.col("light_at")), F.lit("")).alias("light_raw"), "source_file", F.col("place.line_no").alias("line_no"))
 
 
-def _split_header(line: str) -> list[str]:
-    return [part.strip().strip('"') for part in line.split(",")]
+def _first_place(names: Column, candidates: list[str]) -> Column:
+    """Index of the first candidate that is among the names; null if none is."""
+    found = [F.nullif(F.array_position(names, c.strip().lower()).cast("int"), F.lit(0)) for c in candidates]
+    return F.coalesce(*found) - 1
 
 
 def union_parts(parts: list[DataFrame]) -> DataFrame:
@@ -140,6 +135,21 @@ def load_embeddings(vectors: DataFrame, rows: DataFrame, key: str, vector: str =
     return aligned
 
 
+def load_matrix(spark: SparkSession, path: str, rows: DataFrame, order: list[str], vector: str = "embedding") -> DataFrame:
+    """Rows with the vectors of a Parquet matrix by place: row i of the matrix belongs to row i in the given order.
+
+    Matrix rows count in order of file and row. Another number of rows or an odd length is an error.
+    """
+    matrix = spark.read.parquet(path).select(vector, F.col("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_i"))
+    placed = global_position(matrix, ["_f", "_i"], "_place").drop("_f", "_i")
+    numbered = global_position(rows, order, "_place")
+    counts = numbered.agg(F.count("*").alias("rows")).crossJoin(placed.agg(
+        F.count("*").alias("vectors"), F.min(F.size(vector)).alias("shortest"), F.max(F.size(vector)).alias("longest"))).first()
+    if counts["rows"] != counts["vectors"] or counts["shortest"] != counts["longest"]:
+        raise ValueError(f"embedding matrix does not match the rows: {counts.asDict()}")
+    return numbered.join(placed, "_place").drop("_place")
+
+
 def read_metrics(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Metric JSON files as (name, json); files that do not exist are left out."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path

@@ -42,3 +42,13 @@ def test_topk_and_threshold(spark):
     assert best["rule"] in (1, 2, 3)
     one = M.classification_metrics(df.withColumn("p", F.lit(0)), "y", "p").first()
     assert one["precision"] == 0.0 and one["f1"] == 0.0
+
+
+def test_nested_metrics_down_to_the_deepest_object(spark):
+    from curatrix.operators.metric_trees import flatten_metrics
+
+    text = '{"roc_auc": 0.9, "a": [{"b": {"pr_auc": {"mean": "0.5"}}}, 3], "majority": {"roc_auc": 1}, "c": {"average_precision": null}, "d": {}}'
+    rows = spark.createDataFrame([("x", text), ("y", None), ("z", "[]"), ("w", '{"q": 1}')], "name string, json string")
+    got = sorted((r["name"], r["path"], r["roc_auc"], r["pr_auc"]) for r in flatten_metrics(rows, "name", "json").collect())
+    assert got == [("x", "", 0.9, None), ("x", "a.0.b", None, 0.5)]
+    assert flatten_metrics(rows.limit(0), "name", "json").count() == 0

@@ -82,3 +82,37 @@ def test_contract_check(spark, tmp_path):
     sinks.write_csv(spark.range(2).select(F.lit("x").alias("VL")), bad)
     passed = {r["path"]: r["passed"] for r in contract_check(spark, [good, bad, str(tmp_path / "none")]).collect()}
     assert list(passed.values()) == [True, False, False]
+
+
+def test_files_of_one_name_in_two_folders_keep_their_own_preamble(spark, tmp_path):
+    for folder, text in {"x": "note\nheavy_sequence,light_sequence\nA,B\n", "y": "light_sequence,heavy_sequence\nnote\nB,A\nheavy_sequence,light_sequence\n"}.items():
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "same.csv").write_text(text)
+    rows = S.scan_paired_files(spark, [str(tmp_path)]).collect()
+    assert sorted((r["source_file"], r["heavy_raw"], r["light_raw"]) for r in rows) == [
+        ("same.csv", "", "note"), ("same.csv", "A", "B"), ("same.csv", "A", "B"), ("same.csv", "light_sequence", "heavy_sequence")]
+
+
+def test_no_header_gives_no_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n")
+    assert S.scan_paired_files(spark, [str(tmp_path)]).count() == 0
+
+
+def test_quoted_line_breaks(spark, tmp_path):
+    path = tmp_path / "q.csv"
+    path.write_text('a,b\n"one\ntwo",x\n')
+    assert [tuple(r) for r in S.read_csv_text(spark, str(path), multi_line=True).collect()] == [("one\ntwo", "x")]
+
+
+def test_matrix_rows_belong_to_table_rows_by_place(spark, tmp_path):
+    path = str(tmp_path / "matrix")
+    spark.createDataFrame([([float(i), 1.0],) for i in range(9)], "embedding array<double>").coalesce(1).write.parquet(path)
+    rows = spark.createDataFrame([(f"r{i}", i) for i in range(9)], "name string, place long").repartition(4)
+    got = {r["name"]: r["embedding"][0] for r in S.load_matrix(spark, path, rows, ["place"]).collect()}
+    assert got == {f"r{i}": float(i) for i in range(9)}
+    for wrong in (rows.limit(8), rows.union(rows.limit(1))):
+        try:
+            S.load_matrix(spark, path, wrong, ["place"])
+            raise AssertionError("another number of rows passed")
+        except ValueError:
+            pass
