@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from curatrix.catalog.base import RECORDS, SEQUENCES, Tables, query, rounded
 from curatrix.catalog.rows import BINS_SQL, binned
 from curatrix.catalog.scans import scratch
-from curatrix.lineage import cut_lineage
+from curatrix.lineage import cut_lineage, side_by_side
 from curatrix.operators import clusters as CL
 from curatrix.operators import features as FE
 from curatrix.operators import models as MO
@@ -18,6 +18,7 @@ from curatrix.operators import splits as SP
 from curatrix.operators.metrics import full_metrics
 from curatrix.plans.shortlist import retrieval_scorer
 from curatrix.sources.sinks import load_or_fit, save_model
+from curatrix.sources.tables import union_parts
 
 W = "WITH "
 
@@ -108,18 +109,22 @@ def j8(t: Tables) -> DataFrame:
     vectors = MO.as_vector(t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding")).select("doc_id", F.col("_v").alias("embedding_vector"))
     rows = rows.join(vectors, "doc_id")
     blocks = {"kmer": ["kmer_vector"], "embedding": ["embedding_vector"], "simple": ["length", "heavy_length"]}
-    parts = None
+    jobs = []
     for split, sides in {"random": SP.stratified_split(rows, "doc_id", "label"), "grouped": SP.group_split(rows, "source", "label")[0]}.items():
         sides = cut_lineage(sides.select("doc_id", "label", "side", "length", "heavy_length", "embedding_vector"))
         texts = rows.select("doc_id", "text").join(sides.select("doc_id", "side"), "doc_id")
         kmer = MO.kmer_vectors(texts.select("doc_id", "text"), "doc_id", "text", train=texts.filter("side = 'train'").select("doc_id", "text"))
         joined = cut_lineage(sides.join(kmer.withColumnRenamed("features", "kmer_vector"), "doc_id"))
-        for name in FE.FEATURE_SETS:
-            features = FE.feature_set(joined, blocks, name).select("label", "side", "features")
-            fitted = MO.fit_logreg(features.filter("side = 'train'").select("label", "features"), penalise_intercept=True)
-            part = MO.score(features.filter("side = 'test'"), fitted).select(F.lit(split).alias("split"), F.lit(name).alias("feature_set"), "label", "score")
-            parts = part if parts is None else parts.unionByName(part)
-    table = full_metrics(cut_lineage(parts), "label", "score", ["split", "feature_set"], min_class=1)
+        jobs += [(split, joined, name) for name in FE.FEATURE_SETS]
+
+    def fit_and_score(job: tuple[str, DataFrame, str]) -> DataFrame:
+        split, joined, name = job
+        features = FE.feature_set(joined, blocks, name).select("label", "side", "features")
+        fitted = MO.fit_logreg(features.filter("side = 'train'").select("label", "features"), penalise_intercept=True)
+        scored = MO.score(features.filter("side = 'test'"), fitted)
+        return cut_lineage(scored.select(F.lit(split).alias("split"), F.lit(name).alias("feature_set"), "label", "score"))
+
+    table = full_metrics(union_parts(side_by_side(fit_and_score, jobs)), "label", "score", ["split", "feature_set"], min_class=1)
     return rounded(table.select("split", "feature_set", "rows", "roc_auc", "average_precision"), 3)
 
 

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
 SMALL_PER_CORE = 32 << 20  # bytes
+JOBS_AT_ONCE = 4
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -36,6 +39,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def side_by_side(job: Callable, items: Iterable) -> list:
+    """Results of a driver-side job per item, in order; a few jobs share the cluster at a time."""
+    with ThreadPoolExecutor(JOBS_AT_ONCE) as pool:
+        return list(pool.map(job, items))
+
+
 def source_bytes(df: DataFrame) -> int:
     """Estimated size of the tables the plan reads; nothing is run."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()

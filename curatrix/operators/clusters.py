@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
@@ -13,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curatrix.lineage import side_by_side
 from curatrix.operators.models import as_vector
 
 
@@ -29,8 +28,7 @@ def cluster_count(rows: int) -> int:
 
 def best_kmeans(df: DataFrame, k: int, starts: int = 20, seed: int = 42) -> KMeansModel:
     """The start with the least cost; some starts run side by side."""
-    with ThreadPoolExecutor(4) as pool:
-        models = list(pool.map(lambda i: KMeans(k=k, seed=seed + i, maxIter=50).fit(df), range(starts)))
+    models = side_by_side(lambda i: KMeans(k=k, seed=seed + i, maxIter=50).fit(df), range(starts))
     return min(models, key=lambda m: m.summary.trainingCost)
 
 

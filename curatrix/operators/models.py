@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,11 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curatrix.lineage import cut_lineage, shared_path
+from curatrix.lineage import cut_lineage, shared_path, side_by_side
 from curatrix.operators.ngrams import number_terms, text_vocab, tfidf_rows, weigh
 
 ROWS_PER_TASK = 1_000
-FITS_AT_ONCE = 4
 
 
 def with_weights(df: DataFrame, label: str = "label", name: str = "weight") -> tuple[DataFrame, float]:
@@ -280,8 +278,7 @@ class FoldModels:
 
     def leave_out(self, groups: list) -> DataFrame:
         """Scores of every listed group, each from the rows of all other groups; some fits run side by side."""
-        with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
-            parts = list(pool.map(self.predict, groups))
+        parts = side_by_side(self.predict, groups)
         scored = parts[0]
         for part in parts[1:]:
             scored = scored.unionByName(part)

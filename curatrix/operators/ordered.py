@@ -13,6 +13,7 @@ from pyspark.sql.window import Window as W
 
 from curatrix.lineage import cut_lineage
 
+QUANTILE_CELLS = 4_096
 REPORT_ROWS = 1_000  # a list of this size may be gathered in one task
 ROW_BITS = 33  # monotonically_increasing_id keeps the row number of a partition in 33 bits
 
@@ -91,20 +92,36 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact linear-interpolation quantiles per group.
 
-    Equal values are counted before the shuffle; the positions come from prefix sums, so no
-    task holds the values of a whole group.
+    Counts over a coarse grid of values say which cells hold the wanted positions. Only the values of
+    those cells are counted and ordered, by prefix sums, so no task holds the values of a whole group.
     """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    running = prefix_sums(counted, by, [F.col(value).asc()], {"_upto": "_n"})
-    totals = counted.groupBy(*by).agg(F.sum("_n").alias("_total"))
-    ranked = join_on(running, totals, by)
+    rows = df.filter(F.col(value).isNotNull()).select(*by, value)
+    bounds = rows.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count("*").alias("_total"))
+    span = F.col("_hi") - F.col("_lo")
+    share = F.when(span > 0, (F.col(value) - F.col("_lo")) / span * QUANTILE_CELLS)
+    # Values that are not finite leave the grid at either end; order is kept.
+    cell = F.coalesce(F.when(F.isnan(share), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(float(QUANTILE_CELLS)), share))), F.lit(0.0))
+    placed = join_on(rows, bounds, by).withColumn("_cell", F.floor(cell))
+    cells = placed.groupBy(*by, "_cell").agg(F.count("*").alias("_n"), F.first("_total").alias("_total"))
+    upto = W.partitionBy(*by).orderBy("_cell").rowsBetween(W.unboundedPreceding, W.currentRow)
+    cells = cut_lineage(cells.withColumn("_upto", F.sum("_n").over(upto)))
+    spots = {name: (F.col("_total") - 1) * F.lit(float(p)) for name, p in probabilities.items()}
+    wanted = F.lit(False)
+    for spot in spots.values():
+        for position in (F.floor(spot), F.ceil(spot)):
+            wanted = wanted | ((F.col("_upto") > position) & (F.col("_upto") - F.col("_n") <= position))
+    chosen = cells.filter(wanted).select(*by, "_cell", "_total", (F.col("_upto") - F.col("_n")).alias("_base"))
+    inside = join_on(placed.drop("_total"), chosen, [*by, "_cell"])
+    counted = inside.groupBy(*by, "_cell", value).agg(
+        F.count("*").alias("_n"), F.first("_base").alias("_base"), F.first("_total").alias("_total"))
+    ranked = prefix_sums(counted, [*by, "_cell"], [F.col(value).asc()], {"_within": "_n"})
+    ranked = ranked.withColumn("_upto", F.col("_base") + F.col("_within"))
     picks = []
-    for name, p in probabilities.items():
-        spot = (F.col("_total") - 1) * F.lit(float(p))
+    for name, spot in spots.items():
         low = F.min(F.when(F.col("_upto") > F.floor(spot), F.col(value)))
         high = F.min(F.when(F.col("_upto") > F.ceil(spot), F.col(value)))
-        share = F.max(spot - F.floor(spot))
-        picks.append((low + (high - low) * share).alias(name))
+        part = F.max(spot - F.floor(spot))
+        picks.append((low + (high - low) * part).alias(name))
     return ranked.groupBy(*by).agg(*picks)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from curatrix.constants import INNER_FRACTION, MIN_CLASS_ROWS, MIN_SOURCE_ROWS, SPLIT_SEED, TEST_FRACTION
 from curatrix.functions.text import norm_text
-from curatrix.lineage import cut_lineage
+from curatrix.lineage import cut_lineage, side_by_side
 from curatrix.operators.ordered import draw, global_position, join_on
 from curatrix.operators.sets import group_overlap
 
@@ -151,9 +151,10 @@ def split_report(df: DataFrame, side: str, label: str, group: str) -> DataFrame:
 def out_of_fold(
     df: DataFrame, folds: list[int], fit_and_score: Callable[[DataFrame, DataFrame], DataFrame]
 ) -> DataFrame:
-    """Scores of every row from a model that saw none of its fold."""
-    parts = None
-    for fold in folds:
-        part = fit_and_score(df.filter(F.col("fold") != fold), df.filter(F.col("fold") == fold))
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
+    """Scores of every row from a model that saw none of its fold; some fits run side by side."""
+    parts = side_by_side(
+        lambda fold: cut_lineage(fit_and_score(df.filter(F.col("fold") != fold), df.filter(F.col("fold") == fold))), folds)
+    first, *others = parts
+    for other in others:
+        first = first.unionByName(other)
+    return first
