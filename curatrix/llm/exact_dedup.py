@@ -21,7 +21,11 @@ from pyspark.sql import functions as F
 
 from curatrix.llm.common import FILE, LOCATOR, ROW, SPACES, drop_rows, located, lookup, save, scratch, text_bytes
 
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # Many small stores on one disk: no space is set aside for logs that are not written.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 LOG = f"doc_id long, {FILE} string, {ROW} long, n_chars long, digest string"
 FILTER_BITS = 26  # of the bitmap over digests with hits: 8 MB, whatever the input
 
@@ -52,13 +56,14 @@ def arrivals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
 
 @contextmanager
 def _rocksdb(spark: SparkSession):
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, PROVIDER)
+    before = {name: spark.conf.get(name, None) for name in STATE_STORE}
+    for name, value in STATE_STORE.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def absorb(spark: SparkSession, log: str, state: str, per_trigger: int = 32 << 30) -> DataFrame:
