@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curatrix.catalog.base import RECORDS, Tables, query, rounded
-from curatrix.catalog.learning import pair_rows
+from curatrix.catalog.learning import GROUP_SPLIT_SQL, pair_rows
 from curatrix.operators import metrics as M
 from curatrix.operators import models as MO
 from curatrix.plans.validation import validation_matrix
@@ -161,6 +161,32 @@ def m15(t: Tables) -> DataFrame:
     return rounded(table.select("split", "model", "rows", "accuracy", "roc_auc", "average_precision"), 3)
 
 
+def fixed_scorer(train: DataFrame, test: DataFrame, text: str, label: str) -> DataFrame:
+    """A score that SQL can give too, to check splits, variants and metrics around a classifier."""
+    return test.withColumn("score", (F.length(text) % 97).cast("double") / 97)
+
+
+def fixed_score_sql(text: str) -> str:
+    return f"CAST(length({text}) % 97 AS DOUBLE) / 97"
+
+
+MATRIX_SQL = f"""{GROUP_SPLIT_SQL}, rs AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY sha256(row_id || ':42')) <= ceil(0.2 * count(*) OVER (PARTITION BY label)) THEN 'test' ELSE 'train' END AS side
+  FROM rec WHERE label IS NOT NULL),
+bo AS (SELECT 'random' AS split, row_id, label, text, heavy_raw, side FROM rs UNION ALL SELECT 'grouped', row_id, label, text, heavy_raw, side FROM sp),
+mj AS (SELECT split, arg_max(label, n * 10 - label) AS m FROM (SELECT split, label, count(*) AS n FROM bo WHERE side = 'train' GROUP BY 1, 2) GROUP BY 1),
+ms AS (SELECT split, 'pair' AS model, label, {fixed_score_sql('text')} AS s FROM bo WHERE side = 'test' UNION ALL SELECT split, 'heavy', label, {fixed_score_sql('heavy_raw')} FROM bo WHERE side = 'test'
+  UNION ALL SELECT split, 'majority', label, CAST(m AS DOUBLE) FROM bo JOIN mj USING (split) WHERE side = 'test'),
+lm AS (SELECT split || '/' || model AS g, split, model, label, s, CAST(s >= 0.5 AS INTEGER) AS pred FROM ms), {ranking_sql('lm', 's', 'g')},
+cf AS ({confusion_sql('lm', 'g, split, model')}), fm AS (SELECT *, {DERIVED} FROM cf)"""
+
+
+@query("m15_matrix_fixed_scorer", f"""{W}{MATRIX_SQL} SELECT split, model, rows, round(accuracy, 6) AS accuracy, round(f1, 6) AS f1, round(roc_auc, 6) AS roc_auc,
+  round(average_precision, 6) AS average_precision FROM fm JOIN auc USING (g) JOIN ap USING (g)""")
+def m15_fixed(t: Tables) -> DataFrame:
+    table = validation_matrix(pair_rows(t), "row_id", "label", "source", {"pair": "pair", "heavy": "heavy_raw"}, scorer=fixed_scorer)
+    return rounded(table.select("split", "model", "rows", "accuracy", "f1", "roc_auc", "average_precision"))
+
+
 @query("m16_compare_models", f"""WITH m AS (SELECT l_returnflag AS subset, l_linenumber AS model, avg(l_discount) AS roc_auc, avg(l_tax) AS pr_auc FROM lineitem GROUP BY 1, 2)
   SELECT m.subset, m.model, round(m.roc_auc - b.roc_auc, 6) AS delta_roc_auc, round(m.pr_auc - b.pr_auc, 6) AS delta_pr_auc, m.roc_auc > b.roc_auc AND m.pr_auc > b.pr_auc AS beats_all
   FROM m LEFT JOIN m b ON m.subset = b.subset AND b.model = 1""")

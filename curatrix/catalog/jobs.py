@@ -9,7 +9,8 @@ from curatrix.catalog.base import RECORDS, SEQUENCES, Tables, canonical_sql, que
 from curatrix.catalog.learning import pair_rows, variants
 from curatrix.catalog.rows import SCORED_SQL, binned, saved_scores, scored
 from curatrix.catalog.scans import scratch
-from curatrix.constants import MAX_TERMS
+from curatrix.catalog.evaluation import DERIVED, confusion_sql, fixed_score_sql, fixed_scorer, ranking_sql
+from curatrix.constants import ENRICHMENT_K, MAX_TERMS
 from curatrix.operators import rules as R
 from curatrix.operators.metric_trees import flatten_metrics
 from curatrix.operators.ordered import dedup_first, position_in_group, top_k
@@ -148,6 +149,21 @@ def p7(t: Tables) -> DataFrame:
     return rounded(folds.select("fold", "test_rows", "reason", "roc_auc", "average_precision", "accuracy"), 3)
 
 
+HOLDOUT_SQL = f"""{RECORDS}, lab AS (SELECT * FROM rec WHERE label IS NOT NULL),
+te AS (SELECT source AS fold, count(*) AS test_rows, count(*) FILTER (label = 0) AS t0, count(*) FILTER (label = 1) AS t1 FROM lab GROUP BY 1),
+fo AS (SELECT fold, test_rows, CASE WHEN test_rows < 15 THEN 'too_few_test_rows' WHEN sum(t0) OVER () = t0 OR sum(t1) OVER () = t1 THEN 'train_single_class'
+  WHEN t0 < 3 OR t1 < 3 THEN 'test_insufficient_class_counts' ELSE 'ok' END AS reason FROM te),
+lm AS (SELECT source AS g, label, {fixed_score_sql('text')} AS s, CAST({fixed_score_sql('text')} >= 0.5 AS INTEGER) AS pred FROM lab JOIN fo ON fold = source AND reason = 'ok'), {ranking_sql('lm', 's', 'g')},
+cf AS ({confusion_sql('lm', 'g')}), fm AS (SELECT *, {DERIVED} FROM cf)"""
+
+
+@query("p7_holdout_fixed_scorer", f"""{W}{HOLDOUT_SQL} SELECT fold, test_rows, reason, round(roc_auc, 6) AS roc_auc, round(average_precision, 6) AS average_precision, round(accuracy, 6) AS accuracy
+  FROM fo LEFT JOIN fm ON fm.g = fold LEFT JOIN auc ON auc.g = fold LEFT JOIN ap ON ap.g = fold""")
+def p7_fixed(t: Tables) -> DataFrame:
+    folds, _ = validation.holdout(pair_rows(t), "row_id", "pair", "label", "source", min_rows=15, min_class=3, scorer=fixed_scorer)
+    return rounded(folds.select("fold", "test_rows", "reason", "roc_auc", "average_precision", "accuracy"))
+
+
 @query("p7_calibration")
 def p7_calibration(t: Tables) -> DataFrame:
     return rounded(validation.calibrate(pair_rows(t), "row_id", "pair", "label", ["source", "lang"])["calibration"], 2)
@@ -169,6 +185,23 @@ def p9(t: Tables) -> DataFrame:
     return rounded(found["enrichment"], 3)
 
 
+RETRIEVAL_SQL = f"""{RECORDS}, de AS (SELECT *, row_number() OVER (PARTITION BY label IS NULL, text ORDER BY row_id) AS rn FROM rec),
+pj AS (SELECT * FROM de WHERE label IS NOT NULL AND rn = 1), bg AS (SELECT * FROM de WHERE label IS NULL AND rn = 1 AND text NOT IN (SELECT text FROM pj)),
+n AS (SELECT least((SELECT count(*) FROM pj), (SELECT count(*) FROM bg)) AS n),
+pk AS (SELECT 1 AS y, row_id, text, row_number() OVER (ORDER BY sha256(row_id || ':42')) AS k FROM pj UNION ALL SELECT 0, row_id, text, row_number() OVER (ORDER BY sha256(row_id || ':42')) FROM bg),
+un AS (SELECT y, y || ':' || row_id AS k, text FROM pk, n WHERE k <= n),
+si AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY sha256(k || ':42')) <= ceil(0.2 * count(*) OVER (PARTITION BY y)) AS test FROM un),
+rk AS (SELECT y, row_number() OVER (ORDER BY {fixed_score_sql('text')} DESC, k) AS rank, avg(y) OVER () AS base FROM si WHERE test)"""
+
+
+@query("p9_retrieval_fixed_scorer", f"""{W}{RETRIEVAL_SQL} SELECT k, count(*) AS selected_count, count(*) FILTER (y = 1) AS positive_count, round(avg(y), 6) AS fraction, round(avg(y) / max(base), 6) AS enrichment
+  FROM rk, (SELECT unnest({list(ENRICHMENT_K)}) AS k) WHERE rank <= k GROUP BY k""")
+def p9_fixed(t: Tables) -> DataFrame:
+    rows = t.records.select("row_id", "label", F.col("text").alias("pair"))
+    found = validation.retrieval(rows.filter("label IS NOT NULL"), rows.filter("label IS NULL"), "row_id", "pair", scorer=fixed_scorer)
+    return rounded(found["enrichment"])
+
+
 @query("p9_matched_retrieval")
 def p9_matched(t: Tables) -> DataFrame:
     rows = binned(t).select("row_id", "label", "matching_bin", F.col("text").alias("pair")).filter("pair <> ''")
