@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from curatrix.catalog.base import RECORDS, SEQUENCES, Tables, query, rounded
 from curatrix.catalog.rows import MARKERS, SCORED_SQL, scored
+from curatrix.constants import AUDIT_EMPTY_MARKERS
 from curatrix.functions.values import region_group
 from curatrix.operators import profile as P
 from curatrix.operators.joins import first_nonblank
@@ -41,6 +42,19 @@ def e3(t: Tables) -> DataFrame:
     return P.missing_profile(t.documents.select(*PROFILE_COLUMNS))
 
 
+AUDIT_MARKERS = "(" + ", ".join(f"'{m}'" for m in AUDIT_EMPTY_MARKERS) + ")"
+
+
+@query("e3_missing_profile_audit", " UNION ALL ".join(f"""SELECT '{c}' AS "column", count(*) FILTER (trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')) IN {AUDIT_MARKERS}) AS missing,
+  count(*) FILTER (trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')) NOT IN {AUDIT_MARKERS}) AS non_missing, round(100.0 * missing / count(*), 2) AS missing_percent
+  FROM (SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'Not  Done' WHEN o_orderkey % 11 = 0 THEN 'N/A' ELSE {c} END AS x FROM orders)""" for c in ("o_orderstatus", "o_orderpriority")))
+def e3_audit(t: Tables) -> DataFrame:
+    """The wide list of markers, over columns that hold some of them."""
+    key = F.col("o_orderkey")
+    cell = lambda c: F.when(key % 7 == 0, "Not  Done").when(key % 11 == 0, "N/A").otherwise(F.col(c)).alias(c)
+    return P.missing_profile(t.orders.select(cell("o_orderstatus"), cell("o_orderpriority")), AUDIT_EMPTY_MARKERS)
+
+
 def describe_sql(table: str, column: str, by: str = "") -> str:
     group = f"{by}, " if by else ""
     return f"""SELECT {group}'{column}' AS "column", count(x) AS count, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from curatrix.catalog.base import RECORDS, Tables, query
-from curatrix.constants import FORBIDDEN_PUBLIC_COLUMNS, NEGATIVE_NAME_MARKERS, ROLE_KEYWORDS, ROLE_SEQUENCE_EXCLUDES
+from curatrix.constants import FORBIDDEN_PUBLIC_COLUMNS, NEGATIVE_NAME_MARKERS, ROLE_KEYWORDS, ROLE_SEQUENCE_EXCLUDES, SOURCE_COLUMN_CANDIDATES
 from curatrix.functions.text import norm_text
 from curatrix.lineage import checkpoint_dir
 from curatrix.operators import columns as C
@@ -54,7 +54,7 @@ def a5(t: Tables) -> DataFrame:
 @query("a6_first_available_column", RECORDS.join(["WITH ", " SELECT row_id, source AS value FROM rec"]))
 def a6(t: Tables) -> DataFrame:
     rec = t.records
-    return rec.select("row_id", S.first_available(rec, ["sources", "study", "source", "lang"]).alias("value"))
+    return rec.select("row_id", S.first_available(rec, SOURCE_COLUMN_CANDIDATES).alias("value"))
 
 
 @query("a7_embeddings_by_id", """SELECT vec_id, label, CAST(len(embedding) AS INTEGER) AS width,

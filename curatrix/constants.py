@@ -21,7 +21,6 @@ BASIC = "KRH"
 TARGET_MENTION = r"sars[\s_-]*cov[\s_-]*2|sarscov2"
 TARGET_MENTION_WIDE = r"sars[\s_-]*cov[\s_-]*2|sarscov2|2019[\s_-]*ncov|covid[\s_-]*19"
 SINGLE_DOMAIN_TYPE = r"\b(?:nb|nanobody|vhh)\b"
-SINGLE_DOMAIN_TYPE_WIDE = r"\b(?:nb|nanobody|vhh|sdab)\b"
 FLAG_RBD = r"\brbd\b"
 FLAG_NTD = r"\bntd\b"
 FLAG_SPIKE = r"\bspike\b|(?:^|[;\s,/+])s(?:$|[;\s,/+])"
@@ -133,7 +132,7 @@ SEQUENCE_COLUMNS = [
     "cdrh3", "cdrh3_prefix", "cdrh3_suffix",
 ]
 ROLE_KEYWORDS = {
-    "name": ["name", "antibody name", "antibody", "ab name", "clone"],
+    "antibody_name": ["name", "antibody name", "antibody", "ab name", "clone"],
     "heavy_chain_sequence": [
         "vh or vhh", "heavy chain sequence", "heavy sequence", "vh sequence",
         "vhh sequence", "variable heavy", "heavy variable", "vh", "vhh",
@@ -142,14 +141,17 @@ ROLE_KEYWORDS = {
         "vl", "light chain sequence", "light sequence", "variable light",
         "light variable", "kappa", "lambda",
     ],
-    "target": [
+    "bind_target_antigen": [
         "binds to", "does not bind", "doesn't bind", "binding", "target",
         "antigen", "virus", "protein",
     ],
+    "sars_cov_2": [
+        "sars-cov-2", "sars cov 2", "sars_cov_2", "sarscov2", "covid-19", "2019-ncov",
+    ],
     "neutralisation": [
         "neutralising", "neutralizing", "neutralisation", "neutralization", "neut",
     ],
-    "structure": ["pdb", "structure", "structures"],
+    "pdb_or_structure": ["pdb", "structure", "structures"],
     "epitope": ["epitope", "protein epitope", "protein + epitope", "binding site"],
 }
 ROLE_SEQUENCE_EXCLUDES = [

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curatrix.constants import FORBIDDEN_PUBLIC_COLUMNS, SEQUENCE_COLUMNS
+from curatrix.constants import FORBIDDEN_PUBLIC_COLUMNS, SEQUENCE_COLUMNS, TARGET_MENTION_WIDE
 from curatrix.functions.text import first_nonblank_of, norm_text, normalize_marker
 from curatrix.sources.tables import require_columns
 
@@ -96,7 +96,7 @@ def detect_roles(
     )
 
 
-def columns_matching(df: DataFrame, pattern: str, columns: list[str] | None = None) -> DataFrame:
+def columns_matching(df: DataFrame, pattern: str = TARGET_MENTION_WIDE, columns: list[str] | None = None) -> DataFrame:
     """Text columns with at least one hit: one pass over the table."""
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     chosen = [c for c in (columns or df.columns) if c in texts]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from curatrix.constants import BUDGETS
 from curatrix.lineage import cut_lineage
 from curatrix.operators.joins import with_param
 from curatrix.operators.ordered import global_position, round_robin, top_k, top_n_per_group
@@ -44,7 +45,7 @@ def strategy_top(df: DataFrame, score: str, tie: str, groups: dict[str, str], k:
 
 
 def budget_evaluation(
-    df: DataFrame, label: str, score: str, tie: str, groups: dict[str, str], budgets: list[int]
+    df: DataFrame, label: str, score: str, tie: str, groups: dict[str, str], budgets: list[int] = BUDGETS
 ) -> DataFrame:
     """Hits per strategy among the first rows, for every budget."""
     first = strategy_top(df, score, tie, groups, max(budgets))
