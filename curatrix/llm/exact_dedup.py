@@ -25,6 +25,10 @@ STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # Many small stores on one disk: no space is set aside for logs that are not written.
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    # All stores of an executor share one bound on memory; small write buffers suffice for short rows.
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
 }
 LOG = f"doc_id long, {FILE} string, {ROW} long, n_chars long, digest string"
 FILTER_BITS = 26  # of the bitmap over digests with hits: 8 MB, whatever the input
