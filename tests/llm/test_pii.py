@@ -36,10 +36,9 @@ def test_base_spans(alphabet):
 
 
 def test_known_spans():
-    text = "é a.b@c.d. 1.2.3.4 4111 1111 1111 1111, 256.1.1.1 +1 (736) 555-2678 4111111111111112"
+    text = "é a.b@c.d. 1.2.3.4, 4111 1111 1111 1111, 256.1.1.1 +1 (736) 555-2678, 4111111111111112 5 4111 1111 1111 1111"
     assert [(k, text[s:e]) for k, s, e in pii.base_spans(text)] == [
-        ("email", "a.b@c.d"), ("ip", "1.2.3.4"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (736) 555-2678 4111111111111112"[:0] or "+1 (736) 555-2678 4111111111111112")][:3] + [
-        x for x in [(k, text[s:e]) for k, s, e in brute(text)] if x[0] == "phone"]
+        ("email", "a.b@c.d"), ("ip", "1.2.3.4"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (736) 555-2678")]
 
 
 @pytest.mark.parametrize("text", ["9" * 200_000, "a" * 200_000 + "@", "1.1." * 50_000, "+1 (" * 50_000, "a@" * 50_000, "x1" * 100_000])

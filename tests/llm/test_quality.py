@@ -19,17 +19,18 @@ def test_held_out_rule(spark):
     assert all(r["h"] == (zlib.crc32(("" if r["doc_id"] is None else str(r["doc_id"])).encode()) % 5 == 0) for r in rows)
 
 
-def test_held_out_accuracy_and_no_leak(spark, tables):
-    docs, labels = tables
+def test_held_out_accuracy_and_no_leak(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
     model = quality.fit(docs, labels.where(~quality.held_out()))
     turned = labels.withColumn("quality", F.when(quality.held_out(), 1 - F.col("quality")).otherwise(F.col("quality")))
     assert quality.fit(docs, turned.where(~quality.held_out())) == model
     rows = quality.score(docs, model).join(labels.where(quality.held_out()), "doc_id").select("score", "quality").collect()
     good = [r["score"] for r in rows if r["quality"] == 1]
     bad = [r["score"] for r in rows if r["quality"] == 0]
-    assert sum((g > b) + (g == b) / 2 for g in good for b in bad) / (len(good) * len(bad)) > 0.93
+    assert sum((g > b) + (g == b) / 2 for g in good for b in bad) / (len(good) * len(bad)) > 0.95
     assert sum(g >= 0.3 for g in good) / len(good) > 0.98
-    assert sum(b < 0.3 for b in bad) / len(bad) > 0.6
+    assert sum(b < 0.3 for b in bad) / len(bad) > 0.85
 
 
 def test_odd_texts(spark, tables):
