@@ -66,7 +66,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) by kind as listed, then start."""
     out = [("email", s, e) for s, e in _emails(text)] if "@" in text else []
     if re.search("[0-9]", text):
-        out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip('0') or '0') <= 255 for p in m[0].split("."))]
         for m in CARD.finditer(text):
             digits = _digits(m[0])
             if 16 <= len(digits) <= 19 and luhn(digits):

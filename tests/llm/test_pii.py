@@ -95,3 +95,8 @@ def test_second_round_uses_found_instances(spark):
 
 def test_empty_table(spark):
     assert pii.extract(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_ip_of_thousands_of_zeros():
+    text = "0" * 5000 + "1.2.3.4"
+    assert pii.base_spans(text)[0] == ("ip", 0, len(text))
