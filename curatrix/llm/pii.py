@@ -1,10 +1,11 @@
 """Personal data: base identifiers by rule, and further ones by bootstrapped contextual extraction.
 
 1. `scan` finds the base spans of every whole text (email, ip, card, phone) and every other identifier-like token
-   (it holds a digit or @), each with two lexical patterns: the two words before it, and the word on either side.
+   (it holds a digit or @; digit groups between single spaces are one token), each with lexical patterns: the two words
+   before it, the word on either side, one word on one side, its shape after a word, its shape between word classes.
 2. `bootstrap` scores a bipartite graph of patterns and instances. Base identifiers are the seeds, with score one
    for their kind. In each round a pattern's confidence for a kind is the summed score of its distinct instances
-   over the number of all its distinct instances; patterns with enough positive instances and a confidence of
+   over the number of all its distinct instances and PRIOR, which keeps small counts down; patterns with enough positive instances and a confidence of
    `threshold` or more score the unknown instances they hold, which count in the next round.
 3. `extract` adds, as spans of that kind, the tokens that a high-confidence pattern stands around.
 
@@ -13,13 +14,14 @@ Counts and scores are aggregations of distinct (pattern, instance) edges, combin
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import FILE, LOCATOR, ROW, located, save, wide
+from curatrix.llm.common import FILE, LOCATOR, ROW, located, lookup, save, wide
 
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -30,12 +32,14 @@ CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9@]")
 TRIM = "\"'`.,;:!?()[]{}<>|"
-INSTANCE_CHARS = (5, 64)  # length of what may be an identifier
+GROUPS = re.compile(r"[+(]*[0-9][0-9().+/-]*")  # a token that can be part of a number written with spaces
+NUMBER_DIGITS = 19  # of the longest card; tokens of more digits together are not one number
+NAME_CHARS = 64  # longer instances go by their digest
 CONTEXT_CHARS = 96  # looked at on either side for words
-ROUNDS, THRESHOLD, MIN_SEEDS = 3, 0.9, 10
+ROUNDS, THRESHOLD, MIN_SEEDS, PRIOR = 3, 0.9, 5, 0.5
 
 SCAN = (f"doc_id long, {FILE} string, {ROW} long, n_email long, n_ip long, n_card long, n_phone long, base_spans string, "
-        "found array<struct<kind:string,start:long,end:long,instance:string,before:string,around:string>>")
+        "found array<struct<kind:string,start:long,end:long,instance:string,before:string,around:string,coarse:array<string>>>")
 
 
 def luhn(digits: str) -> bool:
@@ -89,11 +93,53 @@ def contexts(text: str, start: int, end: int) -> tuple[str, str]:
     return f"2|{w2} {w1}", f"1|{w1} _ {after}"
 
 
+def _class(word: str) -> str:
+    return "" if not word else "0" if re.search("[0-9]", word) else "a" if word.isalpha() else "."
+
+
+def shape(text: str) -> str:
+    """Digits as 0, runs of letters as a, long runs cut short; other characters as they are."""
+    return re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]", "0", text[:256]))[:48]
+
+
+def coarse(before: str, around: str, token: str) -> list[str]:
+    """One word on one side, the shape after a word, the shape between word classes."""
+    left, right = around[2:].split(" _ ", 1)
+    form = shape(token)
+    return [f"l|{left}", f"r|{right}", f"s|{left} {form}", f"c|{_class(left)} {form} {_class(right)}"]
+
+
+def instance(token: str) -> str:
+    token = token.lower()
+    return token if len(token) <= NAME_CHARS else hashlib.sha256(token.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def _trimmed(text: str, start: int, end: int) -> tuple[int, int]:
+    """Less punctuation at the ends; a bracket stays where its partner is within."""
+    while start < end and text[start] in TRIM and not (text[start] == "(" and ")" in text[start:end][:32]):
+        start += 1
+    while end > start and text[end - 1] in TRIM and not (text[end - 1] == ")" and "(" in text[start:end][-32:]):
+        end -= 1
+    return start, end
+
+
 def candidates(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-    """Tokens between spaces, less punctuation at the ends, that hold a digit or @ and meet no taken span."""
+    """Tokens less punctuation at the ends, of any length, that hold a digit or @ and meet no taken span.
+
+    Tokens end at white space; digit groups with a single space between them are one token if they have at most
+    NUMBER_DIGITS digits together.
+    """
     taken = sorted(taken)
     at, k = 0, 0
-    low, high = INSTANCE_CHARS
+    run: list[tuple[int, int]] = []
+
+    def finish() -> Iterator[tuple[int, int]]:
+        whole = [(run[0][0], run[-1][1])] if run and len(_digits(text[run[0][0]:run[-1][1]])) <= NUMBER_DIGITS else run
+        for start, end in whole:
+            start, end = _trimmed(text, start, end)
+            if start < end:
+                yield start, end
+
     while match := DIGIT.search(text, at):
         start = end = match.start()
         while start > at and not text[start - 1].isspace():
@@ -101,14 +147,27 @@ def candidates(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, i
         while end < len(text) and not text[end].isspace():
             end += 1
         at = end
-        while start < end and text[start] in TRIM:
-            start += 1
-        while end > start and text[end - 1] in TRIM:
-            end -= 1
         while k < len(taken) and taken[k][1] <= start:
             k += 1
-        if low <= end - start <= high and not (k < len(taken) and taken[k][0] < end):
-            yield start, end
+        low, high = _trimmed(text, start, end)
+        free = low < high and not (k < len(taken) and taken[k][0] < high)
+        if k < len(taken) and taken[k][1] <= low:  # a span that ends in the punctuation before the token
+            free = low < high and not any(s < high and e > low for s, e in taken[k:k + 8])
+        groups = free and GROUPS.match(text, start, end)
+        stop = groups.end() if groups else start
+        whole = groups and all(c in TRIM for c in text[stop:end])
+        if run and not (whole and start == run[-1][1] + 1 and text[start - 1] == " "):
+            yield from finish()
+            run = []
+        if whole:
+            run.append((start, end))
+            if stop < end:  # a full stop or comma ends a number
+                yield from finish()
+                run = []
+        elif free:
+            yield low, high
+    if run:
+        yield from finish()
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
@@ -121,7 +180,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         import pyarrow as pa
 
         kinds = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("instance", pa.string()),
-                                    ("before", pa.string()), ("around", pa.string())]))
+                                    ("before", pa.string()), ("around", pa.string()), ("coarse", pa.list_(pa.string()))]))
         for batch in batches:
             counts, spans, found = [], [], []
             for value in batch.column(3):
@@ -133,7 +192,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 rows = []
                 for kind, s, e in [*base, *tokens]:
                     before, around = contexts(text, s, e)
-                    rows.append({"kind": kind, "start": s, "end": e, "instance": text[s:e].lower(), "before": before, "around": around})
+                    rows.append({"kind": kind, "start": s, "end": e, "instance": instance(text[s:e]), "before": before,
+                                 "around": around, "coarse": coarse(before, around, text[s:e])})
                 found.append(rows)
             numbers = [pa.array([c[i] for c in counts], pa.int64()) for i in range(4)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *numbers, pa.array(spans, pa.string()), pa.array(found, kinds)],
@@ -143,28 +203,39 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return wide(columns).mapInArrow(run, SCAN)
 
 
+def _patterns(occurrences: DataFrame):
+    pair = F.array("before", "around")
+    return F.explode(F.concat(pair, "coarse") if "coarse" in occurrences.columns else pair).alias("pattern")
+
+
+def _holding(rows: DataFrame, patterns: DataFrame) -> DataFrame:
+    """rows with kind and confidence of their pattern; the few patterns that hold many rows are broadcast."""
+    kinds = patterns.groupBy("pattern").agg(F.collect_list(F.struct("kind", "confidence")).alias("kinds"), F.max("n").alias("n"))
+    return lookup(rows, kinds, "pattern", "n").withColumn("k", F.explode("kinds")).select(*rows.columns, "k.*")
+
+
 def bootstrap(occurrences: DataFrame, rounds: int = ROUNDS, threshold: float = THRESHOLD, min_seeds: int = MIN_SEEDS) -> DataFrame:
-    """(pattern, kind, confidence, positives) of high-confidence patterns.
+    """(pattern, kind, confidence, positives, n) of high-confidence patterns.
 
-    occurrences: kind (null: unknown), instance, before, around. An instance seen as a base identifier of several
+    occurrences: kind (null: unknown), instance, before, around and, where known, coarse patterns. An instance seen as a base identifier of several
     kinds is a seed of each.
     """
     seeds = occurrences.where("kind is not null").select("instance", "kind").distinct().withColumn("score", F.lit(1.0))
     seeds = save(seeds, "pii-seeds")
-    edges = occurrences.select("instance", F.explode(F.array("before", "around")).alias("pattern")).distinct()
+    edges = occurrences.select("instance", _patterns(occurrences)).distinct()
     sizes = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_seeds)
-    edges = save(edges.join(sizes, "pattern"), "pii-edges")
+    edges = save(lookup(edges, sizes, "pattern", "n"), "pii-edges")
     scores = seeds
     for number in range(rounds):
         patterns = (edges.join(scores, "instance").groupBy("pattern", "kind")
                     .agg(F.sum("score").alias("sum"), F.count(F.lit(1)).alias("positives"), F.first("n").alias("n"))
-                    .withColumn("confidence", F.col("sum") / F.col("n"))
+                    .withColumn("confidence", F.col("sum") / (F.col("n") + PRIOR))
                     .where((F.col("positives") >= min_seeds) & (F.col("confidence") >= threshold)))
-        patterns = save(patterns.select("pattern", "kind", "confidence", "positives"), "pii-patterns")
+        patterns = save(patterns.select("pattern", "kind", "confidence", "positives", "n"), "pii-patterns")
         if number + 1 == rounds:
             break
         unseen = edges.join(seeds.select("instance").distinct(), "instance", "left_anti").select("instance", "pattern")
-        found = (unseen.join(patterns, "pattern").groupBy("instance", "kind")
+        found = (_holding(unseen, patterns).groupBy("instance", "kind")
                  .agg((1 - F.exp(F.sum(F.log(1 - 0.99 * F.col("confidence"))))).alias("score")))
         scores = save(seeds.unionByName(found), "pii-scores")
     return patterns
@@ -181,9 +252,9 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rou
     rows = save(scan(located(docs), id_col, text_col), "pii-scan")
     each = rows.select(*LOCATOR, F.explode("found").alias("f")).select(*LOCATOR, "f.*")
     patterns = bootstrap(each, rounds, threshold, min_seeds)
-    tokens = each.where("kind is null").select(*LOCATOR, "start", "end", F.explode(F.array("before", "around")).alias("pattern"))
+    tokens = each.where("kind is null").select(*LOCATOR, "start", "end", _patterns(each))
     rank = F.struct(-F.col("confidence"), F.array_position(F.lit(list(KINDS)), F.col("kind")), "kind")
-    found = (tokens.join(patterns, "pattern").groupBy(*LOCATOR, "start", "end").agg(F.min_by("kind", rank).alias("kind"))
+    found = (_holding(tokens, patterns).groupBy(*LOCATOR, "start", "end").agg(F.min_by("kind", rank).alias("kind"))
              .groupBy(*LOCATOR).agg(F.collect_list(F.struct("kind", "start", "end")).alias("added")))
     base = F.filter("found", lambda s: s["kind"].isNotNull())
     base = F.transform(base, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))

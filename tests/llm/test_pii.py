@@ -97,6 +97,20 @@ def test_empty_table(spark):
     assert pii.extract(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_candidates_hold_single_spaces_and_brackets():
+    text = "ring (717) 555-0202 or 030 1234 5678. no 2353820953013749 4550997810720808 (12) " + "k9" * 50
+    got = [text[s:e] for s, e in pii.candidates(text, [])]
+    assert got == ["(717) 555-0202", "030 1234 5678", "2353820953013749", "4550997810720808", "(12)", "k9" * 50]
+
+
+def test_one_word_on_one_side_finds_numbers_with_spaces(spark):
+    """Neither the two words before nor the words on both sides repeat; the word before does, six times."""
+    data = [(i, f"{w} dial +1 {200 + i} 555 {i:04d} {w}", "x", "y", 1) for i, w in enumerate(("one", "two", "red", "blue", "green", "sky"))]
+    data += [(100, "odd dial (717) 555-0202 so", "x", "y", 1), (101, "odd part 030 1234 5678 so", "x", "y", 1)]
+    got = {r["doc_id"]: r["spans"] for r in pii.extract(spark.createDataFrame(data, SCHEMA), threshold=0.75).collect() if r["n_found"]}
+    assert got == {100: "phone:9:23"}
+
+
 def test_ip_of_thousands_of_zeros():
     text = "0" * 5000 + "1.2.3.4"
     assert pii.base_spans(text)[0] == ("ip", 0, len(text))
