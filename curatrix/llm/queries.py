@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.llm import chat, decontamination, exact_dedup, mixing, pii, quality, secrets, simhash, url_filter, warc
+from curatrix.llm import (alignment, chat, decontamination, exact_dedup, mixing, negatives, pii, quality, secrets, sharding, simhash,
+                          url_filter, warc)
 from curatrix.llm.common import A_TO_Z, save, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -168,3 +169,54 @@ def positional_index(spark: SparkSession, folder: str) -> DataFrame:
     rows = decontamination.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return rows.select("doc_id", "n_words", decontamination.n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"),
                        decontamination.items_digest().alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
+
+
+@query("op11_threshold_negatives", """
+WITH p AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+           AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+s AS (SELECT a.id AS anchor_id, r.id, r.label = a.label AS same, list_dot_product(a.v, r.v)::BIGINT AS score
+      FROM p a JOIN p r ON a.id <> r.id WHERE a.id % 50 = 0),
+pos AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+neg AS (SELECT anchor_id, positive_id, s.id AS negative_id, positive_score, s.score AS negative_score,
+        row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.id)::INT AS rank
+        FROM pos JOIN s USING (anchor_id)
+        WHERE NOT same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= 3""")
+def threshold_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(negatives.participants(rows.withColumn("label", label)), F.col("id") % 50 == 0)
+
+
+@query("op12_interval_alignment")
+def interval_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align(table(spark, folder, "documents"))
+
+
+@query("op13_virtual_slots", f"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i] || range(8),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+d AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT + 1 AS size,
+      xor(list_reduce([4294967295] || list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT),
+          lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32,
+      ('0x' || substr(md5(coalesce(doc_id::VARCHAR, text, '')), 1, 8))::BIGINT % {sharding.SLOTS} AS virtual_slot
+      FROM documents, crc),
+w AS (SELECT virtual_slot, sum(size)::BIGINT AS w FROM d GROUP BY virtual_slot),
+r AS (SELECT virtual_slot, w, row_number() OVER (ORDER BY w DESC, virtual_slot) AS k FROM w),
+m(k, virtual_slot, shard, loads) AS (
+    SELECT 0::BIGINT, -1::BIGINT, -1::BIGINT, list_transform(range(8), lambda x: 0::BIGINT)
+    UNION ALL
+    SELECT r.k, r.virtual_slot, list_position(loads, list_min(loads)) - 1,
+           list_transform(loads, lambda x, i: x + CASE WHEN i = list_position(loads, list_min(loads)) THEN r.w ELSE 0 END)
+    FROM m JOIN r ON r.k = m.k + 1)
+SELECT doc_id, size, text_crc32::BIGINT AS text_crc32, 'bytes' AS law, shard::INT AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY virtual_slot, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot,
+       NULL::INT AS grown_shard, virtual_slot::INT AS virtual_slot
+FROM d JOIN m USING (virtual_slot)""")
+def virtual_slots(spark: SparkSession, folder: str) -> DataFrame:
+    rows = sharding.shard(table(spark, folder, "documents"), scratch(spark, "slot-map"))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                       F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
