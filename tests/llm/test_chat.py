@@ -3,6 +3,9 @@
 import hashlib
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from curatrix.llm import chat
 
 SCHEMA = "conv_id long, turn long, role string, text string, segment string, start long"
@@ -32,7 +35,7 @@ def frame(spark, data):
 
 def test_read_back(spark):
     data = rows()
-    got = {r["conv_id"]: r for r in chat.read_back(chat.format_turns(frame(spark, data).repartition(5))).collect()}
+    got = {r["conv_id"]: r for r in chat.read_back(chat.expand(chat.format_turns(frame(spark, data).repartition(5)), 1000)).collect()}
     want = conversations(data)
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     assert set(got) == set(want)
@@ -47,7 +50,11 @@ def test_read_back(spark):
 def test_examples_are_prefixes_with_one_trainable_reply(spark):
     data = [r for r in rows() if r[0] != 53]
     formatted = chat.format_turns(frame(spark, data))
-    got = chat.examples(formatted).collect()
+    expanded = chat.expand(formatted, 200)
+    parts = expanded.where("kind = 'context'").collect()
+    assert max(len(r["text"]) for r in parts) < 200 + formatted.selectExpr("max(length(segment)) AS m").first()["m"]
+    assert all(chat.SEGMENT.match(r["text"]) and r["text"].endswith(chat.CLOSE) for r in parts)
+    got = chat.examples(expanded).collect()
     want = conversations(data)
     assert len(got) == sum(r == "assistant" for turns in want.values() for r, _ in turns)
     for r in got:
@@ -56,15 +63,20 @@ def test_examples_are_prefixes_with_one_trainable_reply(spark):
         assert [(chat.unescape(a), chat.unescape(b)) for a, b in segments] == turns
         assert chat.unescape(r["text"][r["loss_start"]:r["loss_end"]]) == turns[-1][1]
         assert r["text"][r["loss_end"]:] == chat.CLOSE
+    rest = expanded.where("kind = 'rest'").count()
+    assert rest == sum(len(t) - 1 - max([i for i, (r, _) in enumerate(t) if r == "assistant"], default=-1) for t in want.values())
 
 
-def test_wanted_examples_only(spark):
-    formatted = chat.format_turns(frame(spark, rows()))
-    wanted = spark.createDataFrame([(54, 399), (54, 398), (54, 399)], "conv_id long, place long")
-    got = chat.examples(formatted, wanted).collect()
-    assert [r["place"] for r in got] == [399] and got[0]["text"].count(chat.OPEN) == 400
+def test_an_example_that_is_no_prefix_is_an_error(spark):
+    data = [(1, t, ("user", "assistant")[t % 2], f"turn {t}") for t in range(6)]
+    expanded = chat.expand(chat.format_turns(frame(spark, data)))
+    for turn in (1, 3):  # a context of an earlier target, and an earlier reply
+        text = F.when((F.col("place") == turn + 2) & (F.col("kind") == "context"), F.replace("text", F.lit("turn 0"), F.lit("turn 9")))
+        with pytest.raises(Exception, match="prefix"):
+            chat.read_back(expanded.withColumn("text", F.coalesce(text, "text"))).collect() if turn == 1 else \
+                chat.read_back(expanded.where("place <> 3")).collect()
 
 
 def test_empty_table(spark):
-    formatted = chat.format_turns(frame(spark, []))
-    assert formatted.count() == 0 and chat.read_back(formatted).count() == 0 and chat.examples(formatted).count() == 0
+    expanded = chat.expand(chat.format_turns(frame(spark, [])))
+    assert expanded.count() == 0 and chat.read_back(expanded).count() == 0 and chat.examples(expanded).count() == 0
