@@ -60,8 +60,8 @@ def contextual_pii(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op4_forest_secrets")
 def forest_secrets(spark: SparkSession, folder: str) -> DataFrame:
-    rows = secrets.scan(table(spark, folder, "documents"), ~quality.held_out(), labels=table(spark, folder, "labels"))
-    return rows.select("doc_id", "start", "end", F.sha2("token", 256).alias("token_sha256"), "score", "secret",
+    rows = secrets.scan(table(spark, folder, "documents"), ~quality.held_out(), reviewed=table(spark, folder, "labels"))
+    return rows.select("doc_id", "start", "end", "kind", F.sha2("token", 256).alias("token_sha256"), "score", "secret",
                        "label", quality.held_out().alias("held_out"))
 
 
@@ -122,7 +122,8 @@ FROM c GROUP BY conv_id""")
 def prefix_targets(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     added = spark.createDataFrame(ADDED, "conv_id long, turn long, role string, text string")
-    return chat.read_back(save(chat.format_turns(rows.unionByName(added)), "chat"))
+    turns = save(chat.format_turns(rows.unionByName(added)), "chat-turns")
+    return chat.read_back(save(chat.expand(turns), "chat-examples"))
 
 
 @query("op8_stream_dedup", """
