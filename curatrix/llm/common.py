@@ -32,14 +32,25 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _is_scan(docs: DataFrame) -> bool:
+    """Whether the plan is one file scan under projections and filters, so that no scanned row shows up twice."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.children().size() == 1 and plan.nodeName() in ("Project", "Filter", "SubqueryAlias", "View"):
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation"
+
+
 def located(docs: DataFrame) -> DataFrame:
-    """docs with the file and row number of each row; a frame that is not a file scan is written first."""
+    """docs with the file and row number of each row. A frame that is not a plain scan is written first: rows that
+    joins or generators multiply would share a locator."""
     def add(df: DataFrame) -> DataFrame:
         return df.withColumns({FILE: F.col("_metadata.file_path"), ROW: F.col("_metadata.row_index")})
     try:
-        return add(docs)
+        if _is_scan(docs):
+            return add(docs)
     except AnalysisException:
-        return add(save(docs, "located"))
+        pass
+    return add(save(docs, "located"))
 
 
 def drop_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
