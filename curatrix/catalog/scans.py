@@ -11,11 +11,12 @@ from pyspark.sql import types as T
 from curatrix.catalog.base import RECORDS, Tables, query
 from curatrix.constants import FORBIDDEN_PUBLIC_COLUMNS, NEGATIVE_NAME_MARKERS, ROLE_KEYWORDS, ROLE_SEQUENCE_EXCLUDES, SOURCE_COLUMN_CANDIDATES
 from curatrix.functions.text import norm_text
-from curatrix.lineage import checkpoint_dir
+from curatrix.lineage import checkpoint_dir, shared_path
 from curatrix.operators import columns as C
 from curatrix.operators.ordered import with_row_id
 from curatrix.sources import sinks
 from curatrix.sources import tables as S
+from curatrix.sources.files import write_matrix
 
 
 def scratch(t: Tables, name: str) -> str:
@@ -46,6 +47,20 @@ def a3(t: Tables) -> DataFrame:
     return S.scan_paired_files(t.spark, [path]).select("heavy_raw", "light_raw")
 
 
+@query("a3_quoted_line_breaks", """SELECT c_name || chr(10) || '"' || c_mktsegment || '", ' || chr(10) AS heavy_raw, c_mktsegment AS light_raw,
+  row_number() OVER (ORDER BY c_custkey) AS record FROM customer""")
+def a3_breaks(t: Tables) -> DataFrame:
+    """Records of several lines, in files dealt by another column; the order is read back from key and line number."""
+    path = shared_path(t.spark, "paired_breaks")
+    heavy = F.concat("c_name", F.lit('\n"'), "c_mktsegment", F.lit('", \n'))
+    rows = t.customer.select("c_custkey", heavy.alias("heavy_sequence"), F.col("c_mktsegment").alias("light_sequence"))
+    rows.repartitionByRange(5, "c_custkey").sortWithinPartitions("c_custkey").write.option("header", True).option(
+        "compression", "gzip").option("quoteAll", True).option("escape", '"').option(
+        "ignoreTrailingWhiteSpace", False).csv(path)
+    found = S.scan_paired_files(t.spark, [path])
+    return with_row_id(found, ["source_file", "line_no"], "record").select("heavy_raw", "light_raw", (F.col("record") + 1).alias("record"))
+
+
 @query("a5_required_columns", "SELECT o_orderkey, o_custkey FROM orders")
 def a5(t: Tables) -> DataFrame:
     return S.require_columns(t.orders, ["o_orderkey", "o_custkey"]).select("o_orderkey", "o_custkey")
@@ -66,6 +81,18 @@ def a7(t: Tables) -> DataFrame:
                           F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first_value"))
 
 
+@query("a7_binary_matrix", """SELECT vec_id, label, CAST(len(embedding) AS INTEGER) AS width, round(CAST(embedding[1] AS DOUBLE), 6) AS first_value,
+  round(CAST(list_sum(embedding) AS DOUBLE), 4) AS total FROM embeddings""")
+def a7_binary(t: Tables) -> DataFrame:
+    """The vectors as a row-aligned binary matrix and back."""
+    path = shared_path(t.spark, "binary_matrix")
+    write_matrix(t.embeddings, ["vec_id"], "embedding", path)
+    aligned = S.load_matrix(t.spark, path, t.embeddings.select("vec_id", "label"), ["vec_id"], kind="binary")
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
+    return aligned.select("vec_id", "label", F.size("embedding").alias("width"), F.round(F.get("embedding", F.lit(0)), 6).alias("first_value"),
+                          F.round(total, 4).alias("total"))
+
+
 @query("a8_metric_json_scan", "SELECT count(*) AS objects, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k_sum FROM events")
 def a8(t: Tables) -> DataFrame:
     path = scratch(t, "metrics_json")

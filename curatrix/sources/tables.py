@@ -8,11 +8,10 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window as W
 
 from curatrix.constants import HEAVY_COLUMN_CANDIDATES, LIGHT_COLUMN_CANDIDATES
-from curatrix.lineage import cut_lineage
 from curatrix.operators.ordered import global_position
+from curatrix.sources.files import read_matrix, scan_pairs
 
 SUPPORTED = (".csv", ".tsv")
 
@@ -65,41 +64,13 @@ def scan_paired_files(
     heavy: list[str] = HEAVY_COLUMN_CANDIDATES,
     light: list[str] = LIGHT_COLUMN_CANDIDATES,
 ) -> DataFrame:
-    """Two columns of a set of CSV files whose header sits behind 0 to 2 extra lines.
+    """Two columns of a set of CSV files, gzip or plain, whose header sits behind 0 to 2 extra lines.
 
-    The first lines of all files are found in one job (each task keeps a few lines per file), headers are
-    judged as rows, and all files are parsed in one scan: a file is known by its full path, its lines by
-    their place. Lines up to the header and lines wider than it are dropped; short lines are filled with
-    blanks. A record is one line; ``read_csv_text`` with ``multi_line`` takes quoted line breaks.
+    Every file is read once, by one task: header, real line numbers and quoted line breaks come from the stream.
+    ``line_no`` is the line on which a record begins. Lines up to the header, blank lines and records wider than the
+    header are dropped; short records are filled with blanks. A file without a header gives no row.
     """
-    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line_no"))
-    lines = spark.read.option("recursiveFileLookup", True).text(paths).select(
-        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("source_file"), place.alias("place"))
-    first = lines.withColumn("nth", F.row_number().over(W.partitionBy("path").orderBy("place"))).filter(F.col("nth") <= max(skip_probe) + 1)
-    names = F.transform(F.split("value", ","), lambda c: F.lower(F.trim(F.regexp_replace(F.trim(c), '^"+|"+$', ""))))
-    spots = [_first_place(names, candidates) for candidates in (heavy, light)]
-    heads = first.filter(F.col("nth").isin([n + 1 for n in skip_probe])).select(
-        "path", "nth", F.col("place").alias("head"), F.size(names).alias("width"), spots[0].alias("heavy_at"), spots[1].alias("light_at"))
-    heads = heads.filter("heavy_at IS NOT NULL AND light_at IS NOT NULL").groupBy("path").agg(
-        F.min_by(F.struct("head", "width", "heavy_at", "light_at"), "nth").alias("h")).select("path", "h.*")
-    heads = cut_lineage(heads)
-    widest = heads.agg(F.max("width")).first()[0]
-    if widest is None:
-        return spark.createDataFrame([], "heavy_raw string, light_raw string, source_file string, line_no long")
-    fields = ", ".join(f"c{i} string" for i in range(widest + 1))  # the last one catches extra cells
-    body = lines.filter(F.col("value") != "").join(heads, "path").filter(F.col("place") > F.col("head"))
-    cells = F.array(*[F.col("r")[f"c{i}"] for i in range(widest + 1)])
-    parsed = body.withColumn("r", F.from_csv("value", fields, {"mode": "PERMISSIVE", "escape": '"'})).withColumn("cells", cells)
-    fitting = parsed.filter(F.get("cells", F.col("width")).isNull())
-    return fitting.select(
-        F.coalesce(F.get("cells", F.col("heavy_at")), F.lit("")).alias("heavy_raw"),
-        F.coalesce(F.get("cells", F.col("light_at")), F.lit("")).alias("light_raw"), "source_file", F.col("place.line_no").alias("line_no"))
-
-
-def _first_place(names: Column, candidates: list[str]) -> Column:
-    """Index of the first candidate that is among the names; null if none is."""
-    found = [F.nullif(F.array_position(names, c.strip().lower()).cast("int"), F.lit(0)) for c in candidates]
-    return F.coalesce(*found) - 1
+    return scan_pairs(spark, paths, skip_probe, heavy, light)
 
 
 def union_parts(parts: list[DataFrame]) -> DataFrame:
@@ -135,13 +106,17 @@ def load_embeddings(vectors: DataFrame, rows: DataFrame, key: str, vector: str =
     return aligned
 
 
-def load_matrix(spark: SparkSession, path: str, rows: DataFrame, order: list[str], vector: str = "embedding") -> DataFrame:
-    """Rows with the vectors of a Parquet matrix by place: row i of the matrix belongs to row i in the given order.
+def load_matrix(spark: SparkSession, path: str, rows: DataFrame, order: list[str], vector: str = "embedding", kind: str = "parquet") -> DataFrame:
+    """Rows with the vectors of a matrix by place: row i of the matrix belongs to row i in the given order.
 
-    Matrix rows count in order of file and row. Another number of rows or an odd length is an error.
+    ``kind`` "parquet": rows count in order of file and row; "binary": matrix files, whose headers say the rows.
+    Another number of rows or an odd length is an error.
     """
-    matrix = spark.read.parquet(path).select(vector, F.col("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_i"))
-    placed = global_position(matrix, ["_f", "_i"], "_place").drop("_f", "_i")
+    if kind == "binary":
+        placed = read_matrix(spark, path).select(F.col("vector").alias(vector), (F.col("row") + 1).alias("_place"))
+    else:
+        matrix = spark.read.parquet(path).select(vector, F.col("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_i"))
+        placed = global_position(matrix, ["_f", "_i"], "_place").drop("_f", "_i")
     numbered = global_position(rows, order, "_place")
     counts = numbered.agg(F.count("*").alias("rows")).crossJoin(placed.agg(
         F.count("*").alias("vectors"), F.min(F.size(vector)).alias("shortest"), F.max(F.size(vector)).alias("longest"))).first()
