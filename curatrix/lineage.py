@@ -33,6 +33,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and go on from the files; unlike a checkpoint, columns can still be pruned."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write df to the checkpoint folder and continue from the written copy."""
     checkpoint_dir(df.sparkSession)

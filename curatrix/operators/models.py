@@ -1,4 +1,4 @@
-"""Classifiers: balanced logistic regression on n-grams or embeddings, MLP, baselines."""
+"""Classifiers: balanced logistic regression on n-grams or embeddings, baselines."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, MultilayerPerceptronClassifier
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
@@ -17,10 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curatrix.lineage import cut_lineage, shared_path, side_by_side
+from curatrix.lineage import cut_lineage, saved, shared_path
 from curatrix.operators.ngrams import number_terms, text_vocab, tfidf_rows, weigh
+from curatrix.operators.sharded import ManyLogistic
 
 ROWS_PER_TASK = 1_000
+DENSE_TERMS = 1 << 21  # 16 MB of weights
 
 
 def with_weights(df: DataFrame, label: str = "label", name: str = "weight") -> tuple[DataFrame, float]:
@@ -143,15 +145,40 @@ def kmer_vectors(df: DataFrame, key: str, text: str, min_df: int = 2, max_terms:
     return as_vectors(tfidf_rows(df, key, text, terms), [key], "ix", "w", terms.count())
 
 
+def term_counts(df: DataFrame, keep: list[str], text: str, terms: DataFrame) -> DataFrame:
+    """``keep`` and the vocabulary terms of each row as two arrays, ix and tf, written once for the passes of a fit."""
+    def counts_of(n, rows, ix, counts, known):
+        offsets = pa.array(np.searchsorted(rows, np.arange(n + 1)), pa.int32())
+        return [pa.ListArray.from_arrays(offsets, pa.array(ix, pa.int32())),
+                pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int64()))]
+
+    fields = [("ix", T.ArrayType(T.IntegerType())), ("tf", T.ArrayType(T.LongType()))]
+    needed = df.select(*dict.fromkeys([*keep, text]))
+    return saved(weigh(needed, text, terms.select("term", "ix"), counts_of, fields).select(*keep, "ix", "tf"), "counts")
+
+
 def fit_kmer(
-    df: DataFrame, text: str = "text", label: str = "label", min_df: int = 2, max_terms: int | None = None
+    df: DataFrame, text: str = "text", label: str = "label", min_df: int = 2, max_terms: int | None = None,
+    dense_terms: int = DENSE_TERMS,
 ) -> KmerModel:
-    """N-gram TF-IDF and balanced logistic regression, fitted on these rows only; all terms unless capped."""
+    """N-gram TF-IDF and balanced logistic regression, fitted on these rows only; all terms unless capped.
+
+    Up to ``dense_terms`` terms the weights travel as one vector of bounded size, which takes the fewest stages a
+    step; beyond, they stay cut into slices. Both find the same optimum.
+    """
     terms = cut_lineage(number_terms(text_vocab(df, text, min_df, max_terms), df.count()))
     size = terms.count()
-    vectors = as_vectors(tfidf_rows(df, label, text, terms), [label], "ix", "w", size)
-    fitted = fit_logreg(vectors, label=label, size=size)
-    return KmerModel(cut_lineage(with_coefficients(terms, fitted)), float(fitted.intercept), text)
+    if size <= dense_terms:
+        vectors = as_vectors(tfidf_rows(df, label, text, terms), [label], "ix", "w", size)
+        fitted = fit_logreg(vectors, label=label, size=size)
+        return KmerModel(cut_lineage(with_coefficients(terms, fitted)), float(fitted.intercept), text)
+    many = ManyLogistic(term_counts(df, [label], text, terms), label, [F.lit(True)], size, min_df=min_df)
+    try:
+        fit = many.fit()
+    finally:
+        many.release()
+    weighted = terms.select("term", "ix", "idf").join(fit.terms().select("ix", "weight"), "ix").select("term", "ix", "idf", "weight")
+    return KmerModel(cut_lineage(weighted), float(fit.intercepts()[0]), text)
 
 
 def with_coefficients(terms: DataFrame, fitted: LogisticRegressionModel) -> DataFrame:
@@ -173,28 +200,6 @@ def as_vector(df: DataFrame, vector: str = "embedding") -> DataFrame:
     return df.withColumn("_v", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
 
 
-def resample_balanced(df: DataFrame, key: str, label: str, seed: int = 42) -> DataFrame:
-    """Rows of smaller classes repeated to even weights; the fraction is settled by hash."""
-    counts = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
-    most = max(counts.values())
-    copies = F.lit(1.0)
-    for value, n in counts.items():
-        copies = F.when(F.col(label) == value, most / n).otherwise(copies)
-    chance = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(10_000)) / 10_000
-    times = (F.floor(copies) + (chance < copies - F.floor(copies)).cast("int")).cast("int")
-    return df.withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).drop("_copy")
-
-
-def fit_mlp(df: DataFrame, key: str, vector: str = "embedding", label: str = "label", hidden: tuple[int, ...] = (256, 64)) -> PipelineModel:
-    """Dense network on scaled vectors over a class-balanced resample."""
-    rows = as_vector(df, vector)
-    width = rows.select(F.size(vector)).first()[0]
-    scaler = StandardScaler(inputCol="_v", outputCol="features", withMean=True, withStd=True).fit(rows)
-    model = MultilayerPerceptronClassifier(
-        featuresCol="features", labelCol=label, layers=[width, *hidden, 2], maxIter=60, seed=42, blockSize=128)
-    return PipelineModel(stages=[scaler, model.fit(scaler.transform(resample_balanced(rows, key, label)))])
-
-
 def majority(train: DataFrame, test: DataFrame, label: str = "label") -> DataFrame:
     """Constant prediction of the most frequent training label; ties go to the smaller label."""
     top = train.groupBy(label).count().orderBy(F.col("count").desc(), label).first()
@@ -202,87 +207,25 @@ def majority(train: DataFrame, test: DataFrame, label: str = "label") -> DataFra
     return test.withColumns({"prediction": F.lit(value), "score": F.lit(float(value))})
 
 
-class FoldModels:
-    """Leave-one-group-out fits that share one pass of n-gram counting.
+def leave_out(
+    df: DataFrame, key: str, text: str, label: str, group: str, groups: list, min_df: int = 2, max_terms: int | None = None
+) -> DataFrame:
+    """(key, label, group, score): scores of every listed group from a model of all other groups.
 
-    The terms of every row are counted once and kept as (ix, tf). The document frequencies and totals
-    a fold would see are the overall ones minus those of its held-out group. Terms below ``min_df`` in
-    the training rows, or beyond ``max_terms`` there, get weight 0, which removes them.
+    The terms of a row are counted once; all models are fitted in the same steps. A model has the vocabulary,
+    document frequencies and class weights of its own training rows.
     """
-
-    def __init__(self, df: DataFrame, key: str, text: str, label: str, group: str, min_df: int = 2, max_terms: int | None = None):
-        self.key, self.label, self.group = key, label, group
-        self.min_df, self.max_terms = min_df, max_terms
-        rows = df.select(key, label, group, text)
-        self.terms = cut_lineage(number_terms(text_vocab(rows, text, min_df), rows.count()))
-        self.size = self.terms.count()
-
-        def counts_of(n, rows, ix, counts, known):
-            offsets = pa.array(np.searchsorted(rows, np.arange(n + 1)), pa.int32())
-            return [pa.ListArray.from_arrays(offsets, pa.array(ix, pa.int32())),
-                    pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int64()))]
-
-        fields = [("ix", T.ArrayType(T.IntegerType())), ("tf", T.ArrayType(T.LongType()))]
-        counted = weigh(rows, text, self.terms.select("term", "ix"), counts_of, fields)
-        self.rows = cut_lineage(counted.select(key, label, group, "ix", "tf"))
-        self.total = self._sums(self.rows)
-
-    def _sums(self, rows: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-        """Rows, and per term the rows with it and its occurrences: vectors of the length of the model."""
-        found = (rows.select(F.explode(F.arrays_zip("ix", "tf")).alias("c")).groupBy("c.ix")
-                 .agg(F.count("*").alias("df"), F.sum("c.tf").alias("total")).toPandas())
-        df, total = np.zeros(self.size), np.zeros(self.size)
-        df[found["ix"]], total[found["ix"]] = found["df"], found["total"]
-        return rows.count(), df, total
-
-    def weights(self, held: DataFrame) -> np.ndarray:
-        n, df, total = (a - b for a, b in zip(self.total, self._sums(held)))
-        keep = df >= self.min_df
-        if self.max_terms and keep.sum() > self.max_terms:
-            order = np.lexsort((np.arange(self.size), -np.where(keep, total, -1)))
-            capped = np.zeros(self.size, dtype=bool)
-            capped[order[:self.max_terms]] = True
-            keep &= capped
-        return np.where(keep, np.log((1.0 + n) / (1.0 + df)) + 1.0, 0.0)
-
-    def _vectors(self, idfs: np.ndarray) -> DataFrame:
-        """All rows as unit vectors under one fold's weights."""
-        packed = self.rows.sparkSession.sparkContext.broadcast(idfs)
-        names = [self.key, self.label, self.group]
-
-        def run(batches):
-            for batch in batches:
-                ix, tf = batch.column(3), batch.column(4)
-                sizes = np.diff(ix.offsets.to_numpy())
-                owners = np.repeat(np.arange(len(sizes)), sizes)
-                at = ix.flatten().to_numpy()
-                w = tf.flatten().to_numpy() * packed.value[at]
-                norms = np.sqrt(np.bincount(owners, w * w, len(sizes)))
-                w = w / np.where(norms > 0, norms, 1.0)[owners]
-                ends = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
-                yield pa.RecordBatch.from_arrays([
-                    *batch.columns[:3], pa.ListArray.from_arrays(ends, pa.array(at, pa.int32())),
-                    pa.ListArray.from_arrays(ends, pa.array(w, pa.float64()))], names=[*names, "ix", "w"])
-
-        shape = T.StructType([*[self.rows.schema[c] for c in names], T.StructField("ix", T.ArrayType(T.IntegerType())),
-                              T.StructField("w", T.ArrayType(T.DoubleType()))])
-        made = self.rows.select(*names, "ix", "tf").mapInArrow(run, shape)
-        return as_vectors(made, names, "ix", "w", self.size)
-
-    def predict(self, value) -> DataFrame:
-        """(key, label, group, score) of one group from a model of the others."""
-        own = F.col(self.group).eqNullSafe(F.lit(value))
-        vectors = self._vectors(self.weights(self.rows.filter(own)))
-        model = fit_logreg(vectors.filter(~own).select(self.label, "features"), label=self.label, size=self.size)
-        return cut_lineage(score(vectors.filter(own), model).select(self.key, self.label, self.group, "score"))
-
-    def leave_out(self, groups: list) -> DataFrame:
-        """Scores of every listed group, each from the rows of all other groups; some fits run side by side."""
-        parts = side_by_side(self.predict, groups)
-        scored = parts[0]
-        for part in parts[1:]:
-            scored = scored.unionByName(part)
-        return scored
+    names = [key, label, group]
+    terms = cut_lineage(number_terms(text_vocab(df, text, min_df), df.count()))
+    counted = term_counts(df, names, text, terms)
+    own = [F.col(group).eqNullSafe(F.lit(value)) for value in groups]
+    many = ManyLogistic(counted, label, [~o for o in own], terms.count(), names, min_df, max_terms)
+    try:
+        place = F.coalesce(*[F.when(o, F.lit(k)) for k, o in enumerate(own)])
+        scored = many.scores(many.fit()).withColumn("_place", place).filter(F.col("_place").isNotNull())
+        return saved(scored.select(*names, F.get("scores", "_place").alias("score")), "held-out")
+    finally:
+        many.release()
 
 
 def gradient_norm(model: LogisticRegressionModel, df: DataFrame, label: str = "label") -> float:

@@ -27,3 +27,10 @@ NEEDS_MORE_ROWS = {"l2_group_split", "l3_group_split_fallback", "l4_inner_split"
 def test_query_equals_sql(spark, con, folder, name):
     result, _ = compare(spark, con, name, folder)
     assert result.startswith("ok"), result
+
+
+@pytest.mark.parametrize("name", sorted(NEEDS_MORE_ROWS))
+def test_query_equals_sql_on_more_rows(spark, name):
+    larger = "/root/testdata/sf0.01"
+    result, _ = compare(spark, connect(larger), name, larger)
+    assert result.startswith("ok"), result

@@ -31,9 +31,10 @@ def test_scores_are_those_of_the_fitted_vectors(spark):
     df = texts(spark)
     vectors = MO.kmer_vectors(df, "id", "text").join(df.select("id", "label"), "id")
     want = {r["id"]: r["score"] for r in MO.score(vectors, MO.fit_logreg(vectors.select("label", "features"))).select("id", "score").collect()}
-    model = MO.fit_kmer(df, "text")
-    got = {r["id"]: r["score"] for r in MO.score(df, model).collect()}
-    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 2e-3 for i in want)
+    for dense_terms in (0, MO.DENSE_TERMS):
+        model = MO.fit_kmer(df, "text", dense_terms=dense_terms)
+        got = {r["id"]: r["score"] for r in MO.score(df, model).collect()}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 2e-3 for i in want)
     unseen = MO.score(spark.createDataFrame([(1, "zz"), (2, None)], "id long, text string"), model).collect()
     base = 1 / (1 + np.exp(-model.intercept))
     assert all(abs(r["score"] - base) < 1e-9 for r in unseen)
@@ -62,7 +63,7 @@ def test_a_vocabulary_beyond_a_million_terms_is_kept_whole(spark):
 
 def test_fold_models_equal_fresh_fits(spark):
     df = texts(spark)
-    shared = MO.FoldModels(df, "id", "text", "label", "source").leave_out(["g1", "g4"])
+    shared = MO.leave_out(df, "id", "text", "label", "source", ["g1", "g4"])
     got = {r["id"]: r["score"] for r in shared.collect()}
     for group in ("g1", "g4"):
         model = MO.fit_kmer(df.filter(F.col("source") != group), "text")
