@@ -13,9 +13,12 @@ from curatrix.lineage import cut_lineage, side_by_side
 from curatrix.operators import clusters as CL
 from curatrix.operators import features as FE
 from curatrix.operators import models as MO
+from curatrix.operators import network as NN
 from curatrix.operators import ngrams as N
 from curatrix.operators import splits as SP
+from curatrix.operators.low_rank import Svd, truncated_svd
 from curatrix.operators.metrics import full_metrics
+from curatrix.operators.sharded import ManyLogistic
 from curatrix.plans.shortlist import retrieval_scorer
 from curatrix.sources.sinks import load_or_fit, save_model
 from curatrix.sources.tables import union_parts
@@ -134,6 +137,22 @@ def k1(t: Tables) -> DataFrame:
     return rounded(MO.score(rows.select("row_id", "label", "pair"), MO.fit_kmer(rows, "pair")).select("row_id", "label", "score"), 3)
 
 
+@query("k1_sliced_optimum", f"""{W}{RECORDS}, {grams_sql('g', 'SELECT row_id AS id, text FROM rec WHERE label IS NOT NULL')}, v AS (SELECT term FROM g GROUP BY 1 HAVING count(*) >= 2)
+  SELECT (SELECT count(*) FROM rec WHERE label IS NOT NULL) AS rows, (SELECT count(*) FROM v) AS terms, CAST(0 AS DOUBLE) AS gradient""")
+def k1_sliced(t: Tables) -> DataFrame:
+    """The fit whose weights stay cut into slices: rows, terms and the length of the gradient where it stops."""
+    rows = pair_rows(t)
+    terms = cut_lineage(N.number_terms(N.text_vocab(rows, "pair"), rows.count()))
+    size = terms.count()
+    many = ManyLogistic(MO.term_counts(rows, ["label"], "pair", terms), "label", [F.lit(True)], size)
+    try:
+        fit = many.fit()
+        scored = many.scores(fit).count()
+    finally:
+        many.release()
+    return t.spark.createDataFrame([(scored, size, round(fit.gradient[0], 2) + 0.0)], "rows long, terms long, gradient double")
+
+
 @query("k2_positive_score")
 def k2(t: Tables) -> DataFrame:
     rows = pair_rows(t)
@@ -155,9 +174,27 @@ def class_vectors(t: Tables) -> DataFrame:
 
 @query("k4_mlp")
 def k4(t: Tables) -> DataFrame:
+    """Trained on the rows outside a hash fold, chosen on that fold; scores of all rows."""
     rows = class_vectors(t)
-    model = MO.fit_mlp(rows, "vec_id")
-    return rounded(MO.score(MO.as_vector(rows), model).select("vec_id", "label", "score"), 2)
+    net = NN.train(rows, "vec_id", F.pmod(F.xxhash64("vec_id"), F.lit(5)) == 0, epochs=12, patience=4)
+    return rounded(net.score(rows).select("vec_id", "label", "score"), 2)
+
+
+@query("k4_training_history", """SELECT 12 AS most_epochs, true AS numbered, true AS best_is_highest, true AS scores_match
+  FROM embeddings LIMIT 1""")
+def k4_history(t: Tables) -> DataFrame:
+    """The history of a training run: epochs without gaps, and the kept parameters are those of the best epoch."""
+    rows = class_vectors(t)
+    held = F.pmod(F.xxhash64("vec_id"), F.lit(5)) == 0
+    net = NN.train(rows, "vec_id", held, epochs=12, patience=4)
+    history = net.history_table(t.spark)
+    again = full_metrics(net.score(rows.filter(held)), "label", "score", min_class=1).select("roc_auc")
+    best = history.agg(F.max("val_roc_auc").alias("top"), F.max_by("val_roc_auc", F.col("epoch") == net.best_epoch).alias("kept"),
+                       F.count("*").alias("n"), F.max("epoch").alias("last"))
+    checks = best.crossJoin(again)
+    return checks.select(F.lit(12).alias("most_epochs"), ((F.col("n") == F.col("last")) & (F.col("n") <= 12)).alias("numbered"),
+                         (F.col("kept") >= F.col("top") - 12 * NN.LEAST_GAIN).alias("best_is_highest"),
+                         (F.abs(F.col("kept") - F.col("roc_auc")) < 1e-9).alias("scores_match"))
 
 
 @query("k5_embedding_logreg")
@@ -179,11 +216,7 @@ def k6_folds(t: Tables) -> DataFrame:
 @query("k6_out_of_fold_scores")
 def k6(t: Tables) -> DataFrame:
     folds = SP.assign_folds(pair_rows(t), "source", "label", 5)
-
-    def fit_and_score(train: DataFrame, test: DataFrame) -> DataFrame:
-        return MO.score(test.select("row_id", "label", "fold", "pair"), MO.fit_kmer(train, "pair")).select("row_id", "label", "fold", "score")
-
-    return rounded(SP.out_of_fold(folds, list(range(5)), fit_and_score), 3)
+    return rounded(MO.leave_out(folds, "row_id", "pair", "label", "fold", list(range(5))), 3)
 
 
 @query("k7_retrieval_scorer")
@@ -291,16 +324,44 @@ def o1(t: Tables) -> DataFrame:
     return CL.cluster(CL.scaled_vectors(t.embeddings), starts=20).select("vec_id", "label", "cluster_id")
 
 
+@query("o1_kmeans_optimum", "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS misplaced, true AS means_hold, true AS best_of_starts FROM embeddings")
+def o1_optimum(t: Tables) -> DataFrame:
+    """Rows not in the cluster of the nearest mean; whether means are the means of their rows and no start is better."""
+    rows = CL.scaled_vectors(t.embeddings)
+    fit = CL.best_kmeans(rows, CL.cluster_count(rows.count()), 20)
+    placed = CL.assign(rows, fit.centers).select("cluster_id", MO.vector_to_array("features").alias("x"))
+    entries = placed.select("cluster_id", F.posexplode("x").alias("d", "v"))
+    means = entries.groupBy("cluster_id", "d").agg(F.avg("v").alias("m")).groupBy("cluster_id").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("d", "m"))), lambda p: p["m"]).alias("mean"))
+    held = cut_lineage(means)
+    far = F.aggregate(F.zip_with("x", "mean", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+    near = placed.crossJoin(F.broadcast(held.withColumnRenamed("cluster_id", "other"))).select("cluster_id", "other", far.alias("far"), F.hash("x").alias("h"))
+    own = near.filter("cluster_id = other").agg(F.sum("far").alias("cost"), F.count("*").alias("rows"))
+    best = near.filter("cluster_id <> other").join(near.filter("cluster_id = other").select("h", F.col("far").alias("own")), "h")
+    # Lloyd steps end when the means move by less than the tolerance, so a row may be nearer by as little.
+    wrong = best.agg(F.count_if(F.col("far") < F.col("own") * 0.99).alias("misplaced"))
+    least = min(fit.costs)
+    return own.crossJoin(wrong).select("rows", "misplaced", (F.abs(F.col("cost") / least - 1) < 1e-3).alias("means_hold"),
+                                       F.lit(fit.cost == least and len(fit.costs) == 20).alias("best_of_starts"))
+
+
 @query("o2_silhouette", """WITH e AS (SELECT vec_id, label AS c, unnest(range(len(embedding))) AS d, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
   s AS (SELECT vec_id, c, d, (x - avg(x) OVER w) / stddev_samp(x) OVER w AS x FROM e WINDOW w AS (PARTITION BY d)),
-  n AS (SELECT vec_id, c, sum(x * x) AS q FROM s GROUP BY 1, 2), k AS (SELECT c AS k, count(*) AS size, sum(q) AS q FROM n GROUP BY 1),
-  m AS (SELECT c AS k, d, sum(x) AS y FROM s GROUP BY 1, 2), p AS (SELECT vec_id, k, sum(x * y) AS p FROM s JOIN m USING (d) GROUP BY 1, 2),
-  g AS (SELECT n.vec_id, n.c, k.k, k.size, n.q + k.q / k.size - 2 * p.p / k.size AS far FROM n JOIN p ON n.vec_id = p.vec_id JOIN k ON k.k = p.k),
-  ab AS (SELECT vec_id, max(size) FILTER (c = k) AS size, max(far * size / nullif(size - 1, 0)) FILTER (c = k) AS a, min(far) FILTER (c <> k) AS b FROM g GROUP BY 1)
+  v AS (SELECT vec_id, c, list(x ORDER BY d) AS x FROM s GROUP BY 1, 2),
+  g AS (SELECT a.vec_id, a.c, b.c AS k, sum(list_distance(a.x, b.x)) AS far, count(*) AS size FROM v a, v b GROUP BY 1, 2, 3),
+  ab AS (SELECT vec_id, max(size) FILTER (c = k) AS size, max(far / nullif(size - 1, 0)) FILTER (c = k) AS a, min(far / size) FILTER (c <> k) AS b FROM g GROUP BY 1)
   SELECT round(avg(CASE WHEN size = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 3) AS silhouette, count(*) AS rows FROM ab""")
 def o2(t: Tables) -> DataFrame:
-    """Silhouette of the given labels as clusters, over all rows."""
-    return rounded(CL.silhouette(CL.scaled_vectors(t.embeddings), "label"), 3)
+    """Silhouette of the given labels as clusters, every row held against all rows."""
+    return rounded(CL.silhouette(CL.scaled_vectors(t.embeddings), "label", sample=None), 3)
+
+
+@query("o2_silhouette_sample", "SELECT true AS near, least(200, count(*)) AS rows FROM embeddings")
+def o2_sample(t: Tables) -> DataFrame:
+    """The estimate from 200 rows lies near the value of all rows."""
+    rows = CL.scaled_vectors(t.embeddings)
+    whole = CL.silhouette(rows, "label", sample=None).select(F.col("silhouette").alias("whole"))
+    return CL.silhouette(rows, "label", sample=200).crossJoin(whole).select((F.abs(F.col("silhouette") - F.col("whole")) < 0.02).alias("near"), "rows")
 
 
 @query("o3_pca")
@@ -313,6 +374,26 @@ def o3_svd(t: Tables) -> DataFrame:
     return rounded(CL.reduce_svd(CL.scaled_vectors(t.embeddings), "vec_id"), 4)
 
 
+@query("o3_sparse_svd_axes", "SELECT CAST(axis AS INTEGER) AS axis, true AS falling, CAST(0 AS DOUBLE) AS residual FROM range(1, 51) r(axis)")
+def o3_axes(t: Tables) -> DataFrame:
+    """50 axes of the n-gram vectors of all documents, all terms: how far each is from an exact one."""
+    found = sparse_svd(t, 50, tol=1e-3, passes=12)
+    falling = [a >= b for a, b in zip(found.values, [*found.values[1:], 0.0])]
+    rows = [(i + 1, down, round(r, 2)) for i, (down, r) in enumerate(zip(falling, found.residuals))]
+    return t.spark.createDataFrame(rows, "axis int, falling boolean, residual double")
+
+
+@query("o3_sparse_svd")
+def o3_sparse(t: Tables) -> DataFrame:
+    found = sparse_svd(t, 2)
+    return rounded(found.rows.select("doc_id", F.get("coordinates", F.lit(0)).alias("sv1"), F.get("coordinates", F.lit(1)).alias("sv2")), 3)
+
+
+def sparse_svd(t: Tables, k: int, **effort: float) -> Svd:
+    vectors, terms = N.fit_tfidf_rows(t.documents, "doc_id", "text")
+    return truncated_svd(cut_lineage(vectors), ["doc_id"], terms.count(), k, **effort)
+
+
 @query("o4_cluster_enrichment", f"""{W}{SEQUENCES} SELECT source, count(*) AS row_count, count(*) FILTER (label = 0) AS label_0, count(*) FILTER (label = 1) AS label_1,
   round(CAST(count(*) FILTER (label = 1) AS DOUBLE) / nullif(count(label), 0), 6) AS positive_fraction FROM seq GROUP BY 1""")
 def o4(t: Tables) -> DataFrame:
