@@ -9,8 +9,8 @@ keeps each link as a number in the piece's list of distinct id pairs, and only t
 Texts are encoded once; no task or driver holds a list that grows with the corpus.
 
 Rows: null and empty texts, and texts that one tokenizer does not give back byte by byte, have no tokens. Ids may be
-null or repeated, every row counts as a document of its own. Very long texts are encoded in parts that end where no
-token of either tokenizer can cross.
+null or repeated, every row counts as a document of its own. Texts are encoded in units that end where no token of
+either tokenizer can cross, so a very long text is never encoded as one; common units are encoded once.
 """
 
 from __future__ import annotations
@@ -28,8 +28,12 @@ TOKENIZER_A = "/opt/tokenizers/byte_bpe_50k.json"
 TOKENIZER_B = "/opt/tokenizers/piece_bpe_32k.model"
 
 PIECE_BYTES = 8 << 20  # text of one piece
-ENCODE_CHARS = 1 << 19  # characters encoded at a time
-SAFE = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z])")  # no token of either side crosses the place before such a space
+ENCODE_CHARS = 1 << 19  # characters aligned at a time
+UNIT_CHARS, UNITS = 64, 1 << 17  # units up to this length are remembered, twice so many at most
+RUN_CHARS = 1 << 16  # new units are encoded in runs of about this length
+BLANK = r"\s\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff"
+SAFE = re.compile(f"(?<=[^{BLANK}]) (?=[^{BLANK}])")  # no token of either side crosses the place before such a space
+EDGES = re.compile(f"[^{BLANK}](.*[^{BLANK}])?", re.DOTALL)  # units that may stand next to others
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 SPACE_MARK = "▁"
 SEPARATORS = (",", "|", ";", "")
@@ -64,46 +68,80 @@ class Pair:
         self.bytes_b = [bytes([int(m[1], 16)]) if (m := BYTE_PIECE.fullmatch(p)) else p.replace(SPACE_MARK, " ").encode() for p in pieces]
         self.size_a = np.array([len(x) for x in self.bytes_a], np.int64)
         self.size_b = np.array([len(x) for x in self.bytes_b], np.int64)
-        # Parts are exact only if no piece holds a space after something else.
+        # Units are exact only if no piece holds a space after something else.
         self.splits = not any(re.search(f"[^{SPACE_MARK}]{SPACE_MARK}", p) for p in pieces)
+        self.young: dict[str, tuple[bytes, bytes] | None] = {}
+        self.old: dict[str, tuple[bytes, bytes] | None] = {}
         most = max(len(self.bytes_a), len(self.bytes_b))
         self.words = [f"{k}{s}" for k in range(most) for s in SEPARATORS]
 
-    def parts(self, text: str) -> list[str]:
-        """text with its leading space in parts that encode as they do within the whole."""
-        whole = " " + text
-        cuts = [0]
-        while self.splits and len(whole) - cuts[-1] > 2 * ENCODE_CHARS and (m := SAFE.search(whole, cuts[-1] + ENCODE_CHARS)):
-            cuts.append(m.start())
-        return [whole[i:j] for i, j in zip(cuts, [*cuts[1:], len(whole)])]
-
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
-        """Ids of both sides for each text; empty lists where a side does not give the bytes back."""
-        parts, owner = [], []
-        for k, text in enumerate(texts):
-            own = self.parts(text) if text else []
-            parts += own
-            owner += [k] * len(own)
-        found: list[tuple[list[int], list[int]]] = [([], []) for _ in texts]
-        broken = set()
-        done = 0
-        while done < len(parts):
-            upto, chars = done, 0
-            while upto < len(parts) and (upto == done or chars + len(parts[upto]) <= ENCODE_CHARS):
-                chars += len(parts[upto])
-                upto += 1
-            some = parts[done:upto]
-            coded = zip(owner[done:upto], some, self.a.encode_batch_fast(some, add_special_tokens=False),
-                        self.b.encode([p[1:] for p in some], num_threads=1))
-            for k, part, a, b in coded:
-                a, want = a.ids, part.encode()
-                if b"".join(map(self.bytes_a.__getitem__, a)) != want or b"".join(map(self.bytes_b.__getitem__, b)) != want:
-                    broken.add(k)
-                found[k][0].extend(a)
-                found[k][1].extend(b)
-            done = upto
-        for k in broken:
-            found[k] = ([], [])
+    def units(self, text: str) -> list[str]:
+        """text cut at single spaces between words: with a space before it, each unit encodes as it does within text."""
+        if not text:
+            return []
+        return SAFE.split(text) if self.splits else [text]
+
+    def _run(self, units: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """Ids of both sides of each unit, encoded as one text; None where a side does not give the bytes back."""
+        import numpy as np
+
+        text = " ".join(units)
+        a = np.array(self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, np.int32)
+        b = np.array(self.b.encode(text), np.int32)
+        want = (" " + text).encode()
+        if any(b"".join(map(table.__getitem__, ids.tolist())) != want for ids, table in ((a, self.bytes_a), (b, self.bytes_b))):
+            if len(units) == 1:
+                return [None]
+            half = len(units) // 2
+            return self._run(units[:half]) + self._run(units[half:])
+        ends = np.cumsum([len(u.encode()) + 1 for u in units])
+        sides = []
+        for ids, size in ((a, self.size_a), (b, self.size_b)):
+            cuts = [0, *(np.searchsorted(np.cumsum(size[ids]), ends) + 1).tolist()]
+            raw = ids.tobytes()
+            sides.append([raw[4 * i:4 * j] for i, j in zip(cuts, cuts[1:])])
+        return list(zip(*sides))
+
+    def _encode_units(self, units: list[str]) -> Iterator[tuple[str, tuple[bytes, bytes] | None]]:
+        run, size = [], 0
+        for unit in units:
+            if not EDGES.fullmatch(unit):
+                yield unit, self._run([unit])[0]
+                continue
+            if run and size + len(unit) > RUN_CHARS:
+                yield from zip(run, self._run(run))
+                run, size = [], 0
+            run.append(unit)
+            size += len(unit) + 1
+        if run:
+            yield from zip(run, self._run(run))
+
+    def encode(self, texts: list[str]) -> list[tuple]:
+        """Ids of both sides for each text as arrays; empty where a side does not give the bytes back."""
+        import numpy as np
+
+        of_text = [self.units(text) for text in texts]
+        if len(self.young) > UNITS:
+            self.young, self.old = {}, self.young
+        here, young, old = {}, self.young, self.old
+        new = []
+        for unit in set().union(*of_text):
+            if unit in young:
+                here[unit] = young[unit]
+            elif unit in old:
+                here[unit] = young[unit] = old[unit]
+            else:
+                new.append(unit)
+        for unit, ids in self._encode_units(new):
+            here[unit] = ids
+            if len(unit) <= UNIT_CHARS:
+                young[unit] = ids
+        found = []
+        for units in of_text:
+            ids = [here[unit] for unit in units]
+            if None in ids:
+                ids = []
+            found.append(tuple(np.frombuffer(b"".join([x[side] for x in ids]), np.int32) for side in (0, 1)))
         return found
 
 
@@ -128,14 +166,13 @@ def coalesce(start, end):
 class Aligned:
     """Groups and links of the documents of a batch; documents lie one after another in one range of bytes."""
 
-    def __init__(self, pair: Pair, coded: list[tuple[list[int], list[int]]]):
+    def __init__(self, pair: Pair, coded: list[tuple]):
         import numpy as np
 
         self.pair, docs = pair, len(coded)
         self.n_a = np.array([len(a) for a, _ in coded], np.int64)
         self.n_b = np.array([len(b) for _, b in coded], np.int64)
-        self.a = np.fromiter((t for a, _ in coded for t in a), np.int64, int(self.n_a.sum()))
-        self.b = np.fromiter((t for _, b in coded for t in b), np.int64, int(self.n_b.sum()))
+        self.a, self.b = (np.concatenate([c[side] for c in coded]).astype(np.int64) for side in (0, 1))
         self.end_a, self.end_b = np.cumsum(pair.size_a[self.a]), np.cumsum(pair.size_b[self.b])
         self.start_a, self.start_b = self.end_a - pair.size_a[self.a], self.end_b - pair.size_b[self.b]
         self.doc_a, self.doc_b = np.repeat(np.arange(docs), self.n_a), np.repeat(np.arange(docs), self.n_b)

@@ -89,11 +89,23 @@ def test_groups_cover_the_bytes(spark):
         assert at in (0, len(whole)) and (at or not text or r["doc_id"] in (9, 10))
 
 
-@pytest.mark.parametrize("size", [1, 7, 40])
-def test_parts_encode_as_the_whole(monkeypatch, size):
-    pair = alignment.pair_of(alignment.TOKENIZER_A, alignment.TOKENIZER_B)
+@pytest.mark.parametrize("run", [1, 40, 1 << 16])
+def test_units_encode_as_the_whole(monkeypatch, run):
+    pair = alignment.Pair(alignment.TOKENIZER_A, alignment.TOKENIZER_B)
     text = " ".join(t for t in TEXTS if t and "\x00" not in t and "▁" not in t) + " don't we'll  end   of 1st line\n\nnext"
-    monkeypatch.setattr(alignment, "ENCODE_CHARS", size)
-    assert len(pair.parts(text)) > 3 and "".join(pair.parts(text)) == " " + text
-    [(a, b)] = pair.encode([text])
-    assert a == pair.a.encode(" " + text, add_special_tokens=False).ids and b == pair.b.encode(text)
+    monkeypatch.setattr(alignment, "RUN_CHARS", run)
+    assert len(pair.units(text)) > 3000 and " ".join(pair.units(text)) == text
+    for _ in range(2):
+        [(a, b), (none, _), (c, d)] = pair.encode([text, "mark ▁ inside", text])
+        assert a.tolist() == c.tolist() == pair.a.encode(" " + text, add_special_tokens=False).ids
+        assert b.tolist() == d.tolist() == pair.b.encode(text) and not len(none)
+
+
+def test_units_forgotten_and_met_again(monkeypatch):
+    pair = alignment.Pair(alignment.TOKENIZER_A, alignment.TOKENIZER_B)
+    monkeypatch.setattr(alignment, "UNITS", 5)
+    texts = [" ".join(f"word{i % 11}x{j}" for j in range(4)) for i in range(60)]
+    for text in texts:
+        [(a, b)] = pair.encode([text])
+        assert a.tolist() == pair.a.encode(" " + text, add_special_tokens=False).ids and b.tolist() == pair.b.encode(text)
+    assert len(pair.young) + len(pair.old) < 30
