@@ -104,3 +104,13 @@ def test_hot_group_of_a_third(spark):
 def test_digest_is_of_the_text_without_ascii_space(spark, text):
     row = exact_dedup.decisions(spark.createDataFrame([(1, text, None, None, None)], SCHEMA)).first()
     assert row["digest"] == hashlib.sha256(body(text).encode()).hexdigest()
+
+
+def test_frames_that_multiply_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    bodies = {body(r["text"]) for r in docs.collect()}
+    twice = docs.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    for frame in (twice, docs.join(twice.select("doc_id", "copy"), "doc_id"), docs.unionByName(docs)):
+        kept = exact_dedup.deduplicate(frame).collect()
+        assert len(kept) == len(bodies) and {body(r["text"]) for r in kept} == bodies
+        assert exact_dedup.decisions(frame).count() == 2 * docs.count()

@@ -59,3 +59,22 @@ def test_keep_good_keeps_columns(spark, tables):
     kept = quality.keep_good(docs, labels)
     assert kept.columns == docs.columns
     assert 0 < kept.count() < docs.count()
+
+
+def test_few_texts_of_a_class(spark):
+    folder = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    model = quality.fit(docs, labels.where(~quality.held_out()))
+    rows = quality.score(docs, model).join(labels.where(quality.held_out()), "doc_id").select("score", "quality").collect()
+    good, bad = ([r["score"] for r in rows if r["quality"] == y] for y in (1, 0))
+    assert len({r["score"] for r in rows}) > 5 and sum(s >= 0.3 for s in good) >= 0.9 * len(good)
+    assert sum(b < g for b in bad for g in good) > 0.7 * len(bad) * len(good)
+
+
+def test_one_text_of_a_class_and_a_column_named_score(spark):
+    rows = [(1, "zzz qqq " * 50, 0.5), (2, "a plain sentence of good words", 0.1), (3, "zzz qqq zzz", 0.0), (4, "good words of a plain kind", 0.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double")
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in quality.score(docs, quality.fit(docs, labels)).collect()}
+    assert list(got[1].asDict()) == ["doc_id", "text", "score"] and len({r["score"] for r in got.values()}) > 1
+    assert all(0 <= r["score"] <= 1 for r in got.values())
