@@ -374,10 +374,10 @@ def o3_svd(t: Tables) -> DataFrame:
     return rounded(CL.reduce_svd(CL.scaled_vectors(t.embeddings), "vec_id"), 4)
 
 
-@query("o3_sparse_svd_axes", "SELECT CAST(axis AS INTEGER) AS axis, true AS falling, CAST(0 AS DOUBLE) AS residual FROM range(1, 51) r(axis)")
+@query("o3_sparse_svd_axes", "SELECT CAST(axis AS INTEGER) AS axis, true AS falling, CAST(0 AS DOUBLE) AS residual FROM range(1, 3) r(axis)")
 def o3_axes(t: Tables) -> DataFrame:
-    """50 axes of the n-gram vectors of all documents, all terms: how far each is from an exact one."""
-    found = sparse_svd(t, 50, tol=1e-3, passes=12)
+    """Two axes of the n-gram vectors of all documents, all terms: how far each is from an exact one."""
+    found = sparse_svd(t, 2)
     falling = [a >= b for a, b in zip(found.values, [*found.values[1:], 0.0])]
     rows = [(i + 1, down, round(r, 2)) for i, (down, r) in enumerate(zip(falling, found.residuals))]
     return t.spark.createDataFrame(rows, "axis int, falling boolean, residual double")
@@ -389,9 +389,9 @@ def o3_sparse(t: Tables) -> DataFrame:
     return rounded(found.rows.select("doc_id", F.get("coordinates", F.lit(0)).alias("sv1"), F.get("coordinates", F.lit(1)).alias("sv2")), 3)
 
 
-def sparse_svd(t: Tables, k: int, **effort: float) -> Svd:
+def sparse_svd(t: Tables, k: int) -> Svd:
     vectors, terms = N.fit_tfidf_rows(t.documents, "doc_id", "text")
-    return truncated_svd(cut_lineage(vectors), ["doc_id"], terms.count(), k, **effort)
+    return truncated_svd(cut_lineage(vectors), ["doc_id"], terms.count(), k)
 
 
 @query("o4_cluster_enrichment", f"""{W}{SEQUENCES} SELECT source, count(*) AS row_count, count(*) FILTER (label = 0) AS label_0, count(*) FILTER (label = 1) AS label_1,
