@@ -35,7 +35,7 @@ def score_and_prioritise(
 ) -> DataFrame:
     """As above with the score of a classifier fitted on the labelled rows, or a given one."""
     fitted = model or fit_kmer(records.filter(F.col("label").isNotNull()), text)
-    scored = cut_lineage(score(records.select(row_id, text), fitted).select(row_id, "score"))
+    scored = cut_lineage(score(records.select(row_id, text), fitted, [row_id]))
     return prioritise(records.drop(text, "score").join(scored, row_id), row_id, v_group, region)
 
 
