@@ -42,7 +42,7 @@ def f5(t: Tables) -> DataFrame:
 @query("f6_round_robin", f"""{W}{RECORDS}, r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, row_id) AS k FROM rec)
   SELECT row_id, row_number() OVER (ORDER BY k, score DESC, lang, row_id) AS position FROM r""")
 def f6(t: Tables) -> DataFrame:
-    return O.round_robin(t.records, "lang", "score", "row_id").select("row_id", "position")
+    return O.round_robin(t.records.select("row_id", "lang", "score"), "lang", "score", "row_id").select("row_id", "position")
 
 
 @query("f7_global_rank", "SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rank FROM lineitem")
