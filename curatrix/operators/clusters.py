@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,7 +18,7 @@ from curatrix.operators.models import as_vector
 
 PIECE_ROWS = 1024
 TASKS_TO_DRIVER = 64
-PIECES_HELD = 256
+GROUP_PIECES = 64  # blocks of one side that a task of the silhouette holds
 
 
 def scaled_vectors(df: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -214,9 +214,10 @@ def cluster(df: DataFrame, k: int | None = None, starts: int = 20) -> DataFrame:
 def silhouette(df: DataFrame, cluster_column: str = "cluster_id", sample: int | None = 2_000, seed: int = 42) -> DataFrame:
     """Mean silhouette under Euclidean distance over a sample of rows chosen by hash; None takes every row.
 
-    Each sampled row is held against all rows: blocks of the sample meet blocks of the table in a join, a task keeps
-    sums of distances by sampled row and cluster, and no pair of rows leaves it. Rows alone in their cluster count 0;
-    one cluster gives 0. (silhouette, rows: how many were sampled)
+    Each sampled row is held against all rows: blocks of the sample and of the table are dealt into groups of bounded
+    size, each pair of groups meets in one task that gets every block once, keeps sums of distances by sampled row and
+    cluster, and lets no pair out. Rows alone in their cluster count 0; one cluster gives 0. (silhouette, rows: how
+    many were sampled)
     """
     spark = df.sparkSession
     rows = df.select("features", F.col(cluster_column).cast("string").alias("c"))
@@ -233,36 +234,36 @@ def silhouette(df: DataFrame, cluster_column: str = "cluster_id", sample: int |
         picked = table.filter(rank <= bound)
     all_pieces = saved(pack_dense(table, extra=["c"]), "dense")
     some = saved(pack_dense(picked, extra=["c"]), "sample").select("piece", F.col("x").alias("sx"), F.col("rows.c").alias("sc"))
-    groups = max(1, min(spark.sparkContext.defaultParallelism, all_pieces.count()))
-    left = all_pieces.select("x", F.col("rows.c").alias("c"), F.pmod(F.xxhash64("piece"), F.lit(groups)).cast("int").alias("g"))
-    right = some.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    k, counts = len(names), np.array([sizes[n] for n in names], float)
+    blocks = all_pieces.count()
+    of_table = max(1, min(spark.sparkContext.defaultParallelism, blocks), -(-blocks // GROUP_PIECES))
+    of_sample = max(1, -(-some.count() // GROUP_PIECES))
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sums of distances of a block of the sample to the task's rows, by cluster; some blocks are held at a time."""
-        held: dict[int, list] = {}
+    def group(count: int) -> Column:
+        return F.pmod(F.xxhash64("piece"), F.lit(count)).cast("int")
 
-        def out() -> Iterator[pa.RecordBatch]:
-            for piece, (total, sc) in held.items():
-                yield pa.RecordBatch.from_arrays([pa.array([piece]), pa.array([total.tobytes()], pa.binary()), pa.array([sc.tolist()], pa.list_(pa.int32()))],
-                                                 names=["piece", "sums", "sc"])
+    def every(count: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
 
-        for batch in batches:
-            for at in range(batch.num_rows):
-                c, sc = (np.asarray(batch.column(i)[at].values) for i in (1, 3))
-                x = np.frombuffer(batch.column(0)[at].as_buffer()).reshape(len(c), -1)
-                sx = np.frombuffer(batch.column(2)[at].as_buffer()).reshape(len(sc), -1)
-                far = np.sqrt(_square_distances(sx, x[None])[:, 0])
-                total = np.stack([far[:, c == j].sum(axis=1) for j in range(k)], axis=1)
-                piece = batch.column(4)[at].as_py()
-                if piece in held:
-                    held[piece][0] += total
-                else:
-                    if len(held) == PIECES_HELD:
-                        yield from out()
-                        held.clear()
-                    held[piece] = [total, sc]
-        yield from out()
+    left = all_pieces.select("x", F.col("rows.c").alias("c"), group(of_table).alias("g")).withColumn("h", every(of_sample))
+    right = some.withColumn("h", group(of_sample)).withColumn("g", every(of_table))
+    k, counts = len(names), np.array([sizes[n] for n in names], float)
+
+    def meet(table: pa.Table, sampled: pa.Table) -> pa.Table:
+        """Sums of distances of every block of a group of the sample to a group of the table, by cluster."""
+        held = []
+        for x, c in zip(table["x"], table["c"]):
+            own = np.asarray(c.values)
+            held.append((np.frombuffer(x.as_buffer()).reshape(len(own), -1), [np.flatnonzero(own == j) for j in range(k)]))
+        sums = []
+        for x, c in zip(sampled["sx"] if held else [], sampled["sc"]):
+            block = np.frombuffer(x.as_buffer()).reshape(len(c), -1)
+            total = np.zeros((len(c), k))
+            for rows, own in held:
+                far = np.sqrt(_square_distances(block, rows[None])[:, 0])
+                total += np.stack([far[:, j].sum(axis=1) for j in own], axis=1)
+            sums.append(total.tobytes())
+        met = sampled if held else sampled.slice(0, 0)
+        return pa.table({"piece": met["piece"], "sums": pa.array(sums, pa.binary()), "sc": met["sc"]})
 
     def close(met: pa.Table) -> pa.Table:
         sc = np.asarray(met["sc"][0].values)
@@ -276,8 +277,8 @@ def silhouette(df: DataFrame, cluster_column: str = "cluster_id", sample: int |
         width = np.where((mine > 1) & (wide > 0), (outside - inside) / np.where(wide > 0, wide, 1), 0.0)
         return pa.table({"width": pa.array([width.sum()]), "n": pa.array([len(width)])})
 
-    joined = left.join(right, "g").select("x", "c", "sx", "sc", "piece")
-    sums = joined.mapInArrow(meet, "piece long, sums binary, sc array<int>").groupBy("piece").applyInArrow(close, "width double, n long")
+    met = left.groupBy("g", "h").cogroup(right.groupBy("g", "h")).applyInArrow(meet, "piece long, sums binary, sc array<int>")
+    sums = met.groupBy("piece").applyInArrow(close, "width double, n long")
     return sums.agg((F.sum("width") / F.sum("n")).alias("silhouette"), F.sum("n").alias("rows"))
 
 

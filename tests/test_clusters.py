@@ -1,5 +1,7 @@
 """k-means of many starts and the Euclidean silhouette against NumPy."""
 
+from functools import partial
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -68,3 +70,16 @@ def test_silhouette_of_all_rows_and_of_a_sample(spark):
     assert (one["silhouette"], one["rows"]) == (0.0, 130)
     nulls = df.withColumn("c", F.when(F.col("id") >= 10, F.col("c")))
     assert CL.silhouette(nulls, "c", sample=None).first()["rows"] == 120
+
+
+def test_silhouette_meets_groups_of_blocks_and_hands_over_no_pairs(spark, monkeypatch):
+    """Joined pairs of blocks were handed to Python; now a task gets each block of its two groups once."""
+    rng = np.random.default_rng(8)
+    points, own = rng.normal(size=(140, 3)), rng.integers(0, 3, 140)
+    monkeypatch.setattr(CL, "pack_dense", partial(CL.pack_dense, rows=8))
+    monkeypatch.setattr(CL, "GROUP_PIECES", 3, raising=False)
+    found = CL.silhouette(frame(spark, points, own.tolist()), "c", sample=None)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "CoGroup" in plan
+    got = found.first()
+    assert abs(got["silhouette"] - brute(points, own).mean()) < 1e-6 and got["rows"] == 140
