@@ -1,6 +1,8 @@
 """What n-gram steps write and shuffle: large slices, entries that keep their terms, written blocks in row groups."""
 
 import glob
+import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -77,3 +79,20 @@ def test_counts_of_a_table_equal_plain_counts():
                 if t[i:i + n] in place:
                     want[r, place[t[i:i + n]]] = want.get((r, place[t[i:i + n]]), 0) + 1
     assert list(zip(rows.tolist(), ix.tolist(), counts.tolist())) == [(*k, v) for k, v in sorted(want.items())]
+
+
+def test_lines_held_do_not_grow_with_the_variety_of_the_text():
+    """Texts of ever new terms: tables of bounded length, which add up to the whole count."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=30)) for _ in range(2600)]
+    tables = list(N._slice_terms(pa.array(texts), 3, 5, 5_000))
+    windows = [[t[i:i + n] for n in (3, 4, 5) for i in range(len(t) - n + 1)] for t in texts]
+    assert len(tables) > 2 and max(t.num_rows for t in tables) < 5_000 + 500 * 81
+    df, total = Counter(), Counter()
+    for table in tables:
+        for line in table.to_pylist():
+            df[line["term"]] += line["df"]
+            total[line["term"]] += line["total"]
+    assert total == Counter(w for ws in windows for w in ws)
+    assert df == Counter(w for ws in windows for w in set(ws))
+    assert len(list(N._slice_terms(pa.array(texts), 3, 5))) == 1
